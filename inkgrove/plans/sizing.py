@@ -1,0 +1,19 @@
+"""Broadcasts that are checked before they are asked for."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# About 20 MB for the narrow key tables this is used with.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when a bounded count shows that ``df`` is small.
+
+    The count stops after ``max_rows + 1`` rows.  A larger side is returned
+    without a hint: Spark then sorts and merges, and splits skewed partitions.
+    """
+    seen = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if seen <= max_rows else df
