@@ -174,14 +174,15 @@ def toggle_pinned(notes: DataFrame, keys: DataFrame) -> DataFrame:
 # -- folders -----------------------------------------------------------------
 
 
-def create_folders(
+def new_folders(
     folders: DataFrame,
     drafts: DataFrame,
     now: dt.datetime,
     order: list[Column] | None = None,
     paths: DataFrame | None = None,
 ) -> DataFrame:
-    """Drafts (id, name, color, parent_id) get the next sort orders.
+    """Full rows of drafts (id, name, color, parent_id), in the next
+    sort orders.
 
     With ``paths`` the depth limit applies: a draft below a folder that is too
     deep is left out.
@@ -195,7 +196,18 @@ def create_folders(
     rows = ranked.withColumns(
         {"sort_order": (top + F.col("nth")).cast("int"), "created_at": stamp(now), "updated_at": stamp(now)}
     ).drop("nth")
-    return folders.unionByName(conform(rows, FOLDERS).select(*FOLDERS.names), allowMissingColumns=True)
+    return conform(rows, FOLDERS).select(*FOLDERS.names)
+
+
+def create_folders(
+    folders: DataFrame,
+    drafts: DataFrame,
+    now: dt.datetime,
+    order: list[Column] | None = None,
+    paths: DataFrame | None = None,
+) -> DataFrame:
+    """M9: the snapshot with the new folders."""
+    return folders.unionByName(new_folders(folders, drafts, now, order, paths), allowMissingColumns=True)
 
 
 def update_folders(folders: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:

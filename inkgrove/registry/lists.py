@@ -147,10 +147,10 @@ def _(d):
     "recent_p5",
     "active",
     f"""{_IDS} WHERE date_trunc('second', updated_at)
-        >= date_trunc('second', TIMESTAMP '2024-01-10 12:34:56.7') - INTERVAL 3 DAY""",
+        >= date_trunc('second', TIMESTAMP '2024-01-03 00:34:56.7') - INTERVAL 1 DAY""",
 )
 def _(d):
-    return _ids(N.recent(d.notes(), 3, dt.datetime(2024, 1, 10, 12, 34, 56, 700000)))
+    return _ids(N.recent(d.notes(), 1, dt.datetime(2024, 1, 3, 0, 34, 56, 700000)))
 
 
 @query(
@@ -249,7 +249,7 @@ def _(d):
     return _ids(N.note_view(d.notes(), N.ViewSpec(folder_id="smart:favorites", tag="en", current_note_id="d5")))
 
 
-# A quarter of the documents become notes that are empty in different ways.
+# Placeholder notes: the first two are empty, the others show an image.
 _EMPTY_CASES = [
     ("", "<p></p>"),
     ("새 노트", "<p>&nbsp; ​<br></p>"),

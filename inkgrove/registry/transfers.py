@@ -102,21 +102,37 @@ def _(d):
 # -- files -------------------------------------------------------------------
 
 
-def _exported(d):
+def _exported(d, by_id: bool = False):
     """Every active note written once per application: the directory, the report."""
 
     def make():
         out = scratch_path(d.spark, "export").removeprefix("file:")
         images = I.embedded_images(d.notes_img(), NOW)
-        scope = E.all_scope(_tokenized(d), d.folders(), d.paths())
+        notes = _tokenized(d)
+        if by_id:
+            notes = notes.withColumn("title", F.col("id"))
+        scope = E.all_scope(notes, d.folders(), d.paths())
         return out, cut(E.write_files(E.export_manifest(scope, "md", images), out))
 
-    return d.once("export", make)
+    return d.once(f"export {by_id}", make)
 
 
 def _imported(d):
+    """An export with ids as titles, imported again: an image link in Markdown ends
+    at its first space, so images of other titles would not be found."""
+
     def make():
-        out, _ = _exported(d)
+        out, _ = _exported(d, by_id=True)
+        # One office file per label lies among the notes.
+        office = d.table("labels").select(
+            F.col("doc_id").cast("string").alias("note_id"),
+            F.lit("").alias("title"),
+            F.lit(E.LABEL_ALL).alias("directory"),
+            F.concat(F.lit("_"), "doc_id", F.when(F.col("toxic") == 1, ".HWPX").otherwise(".docx")).alias("file_name"),
+            F.lit("").alias("body"),
+            F.array().cast("array<struct<file:string,data:binary>>").alias("images"),
+        )
+        cut(E.write_files(office, out))
         return S.import_directory(d.spark, f"{out}/{E.LABEL_ALL}", d.folders(), NOW, parent_folder_id="r1")
 
     return d.once("import", make)
@@ -148,8 +164,8 @@ _TEXT = html_sql("plain || chr(10) || '![img](data:image/png;base64,' || payload
 @query(
     "import_tree_s5_j8_j9",
     "notes_img fpath",
-    f"""{_ALL} SELECT file_base AS title, '# ' || file_base || chr(10) || chr(10) || {_TEXT} AS content,
-        names[len(names)] AS folder, 'markdown' AS content_format FROM named""",
+    f"""{_ALL} SELECT id AS title, '# ' || id || chr(10) || chr(10) || {_TEXT} AS content,
+        string_split(directory, '/')[-1] AS folder, 'markdown' AS content_format FROM named""",
 )
 def _(d):
     """What was exported comes back: text, inlined images, folders."""
@@ -181,7 +197,7 @@ def _(d):
     "active fpath closure",
     """SELECT (SELECT count(*) FROM active) AS note_count,
               (SELECT count(DISTINCT c.ancestor) + 1 FROM active a JOIN closure c ON c.descendant = a.folder_id) AS folder_count,
-              CAST(0 AS BIGINT) AS failed_count""",
+              (SELECT count(*) FROM labels) AS failed_count""",
 )
 def _(d):
     return S.import_summary(_imported(d))
@@ -225,7 +241,13 @@ def _(d):
     return d.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), S.decode_text(raw).alias("text"))
 
 
-@query("import_failures_s8")
+@query(
+    "import_failures_s8",
+    "",
+    """SELECT '/전체 노트/_' || doc_id || CASE WHEN toxic = 1 THEN '.HWPX' ELSE '.docx' END AS path,
+              'unsupported format' AS error FROM labels""",
+)
 def _(d):
-    out, _ = _exported(d)
-    return _imported(d).failures
+    failures = _imported(d).failures
+    out, _ = _exported(d, by_id=True)
+    return failures.withColumn("path", F.substring("path", len(out) + 1, 1 << 20))
