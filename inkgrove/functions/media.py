@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgrove.functions.patterns import DATA_URL, IMAGE_TOKEN
-from inkgrove.functions.splice import matches
+from inkgrove.functions.splice import drop_all, matches
 from inkgrove.functions.text import blank
 
 TOKEN_PREFIX = "note-image://"
@@ -48,12 +48,12 @@ def url_mime(url: Column) -> Column:
 
 def url_payload(url: Column) -> Column:
     """The base64 text without line ends."""
-    return F.translate(F.substring_index(url, ";base64,", -1), "\r\n", "")
+    return drop_all(F.substring_index(url, ";base64,", -1), "\r\n")
 
 
 def checksum(mime: Column, payload: Column) -> Column:
     """F14."""
-    return F.sha2(F.concat(mime, F.lit(":"), F.translate(payload, "\r\n", "")), 256)
+    return F.sha2(F.concat(mime, F.lit(":"), drop_all(payload, "\r\n")), 256)
 
 
 def image_id(note_id: Column, digest: Column) -> Column:
@@ -68,4 +68,4 @@ def image_tokens(text: Column) -> Column:
 
 def base64_line(data: Column) -> Column:
     """Base64 without line breaks, whatever the session setting."""
-    return F.translate(F.base64(data), "\r\n", "")
+    return drop_all(F.base64(data), "\r\n")

@@ -25,13 +25,28 @@ def between(text: Column, pattern: str) -> Column:
 
 
 def put_back(text: Column, pattern: str, replacements: Column) -> Column:
-    """Replace the i-th match of ``pattern`` by the i-th array element."""
-    pieces = between(text, pattern)
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    glued = F.zip_with(replacements, rest, lambda new, after: F.concat(new, after))
-    return F.concat(F.element_at(pieces, 1), F.array_join(glued, ""))
+    """Replace the i-th match of ``pattern`` by the i-th array element.
+
+    There is one more piece than there are matches; ``zip_with`` pads with NULL.
+    """
+    glued = F.zip_with(
+        between(text, pattern), replacements, lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))
+    )
+    return F.array_join(glued, "")
 
 
 def substitute(text: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:
     """``re.sub`` with a function of the matched text."""
     return put_back(text, pattern, F.transform(matches(text, pattern), replace))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def drop_all(text: Column, characters: str) -> Column:
+    """Remove single characters; each search is fast when there is none."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text

@@ -22,8 +22,8 @@ from inkgrove.functions.media import (
     url_mime,
     url_payload,
 )
-from inkgrove.functions.patterns import DATA_URL, IMAGE_LINK, IMAGE_TOKEN
-from inkgrove.functions.splice import matches, put_back, substitute
+from inkgrove.functions.patterns import DATA_URL, IMAGE_LINK, IMAGE_TOKEN, PY_SPACE
+from inkgrove.functions.splice import let, matches, put_back, substitute
 from inkgrove.functions.text import blank
 
 
@@ -136,17 +136,19 @@ def upsert_images(stored: DataFrame, new: DataFrame) -> DataFrame:
 # -- numbered files ----------------------------------------------------------
 
 
+_EMBEDDED = f"(?s)^!\\[[^\\]]*\\]\\({PY_SPACE}*({DATA_URL})"
+
+
 def _embedded(link: Column) -> Column:
     """What one image link holds; ``payload`` is NULL unless it is a data URL."""
-    source = F.regexp_extract(link, f"(?s)^{IMAGE_LINK}$", 2)
-    url = F.regexp_extract(F.ltrim(source), f"^{DATA_URL}", 0)
     # Padding ends the payload; what follows it is ignored.
-    payload = F.regexp_extract(url_payload(url), "^[A-Za-z0-9+/]*={0,2}", 0)
-    return F.struct(
-        link.alias("link"),
-        F.regexp_extract(link, f"(?s)^{IMAGE_LINK}$", 1).alias("alt"),
-        url_mime(url).alias("mime"),
-        F.when(url != "", payload).alias("payload"),
+    return let(
+        F.when(link.contains(";base64,"), F.regexp_extract(link, _EMBEDDED, 1)),
+        lambda url: F.struct(
+            link.alias("link"),
+            F.when(url != "", url_mime(url)).alias("mime"),
+            F.when(url != "", F.regexp_extract(url_payload(url), "^[A-Za-z0-9+/]*={0,2}", 0)).alias("payload"),
+        ),
     )
 
 
@@ -169,14 +171,13 @@ def numbered_images(text: Column, base: Column) -> Column:
         whole = F.length(x["payload"]) % 4 == 0
         return F.struct(
             x["link"].alias("link"),
-            x["alt"].alias("alt"),
             F.when(x["payload"].isNotNull(), name).alias("file"),
             F.when(whole, F.try_to_binary(x["payload"], F.lit("base64"))).alias("data"),
         )
 
     def count(acc: Column, x: Column) -> Column:
         n = acc["n"] + F.when(x["payload"].isNotNull(), 1).otherwise(0)
-        entry = F.struct(*[x[k].alias(k) for k in ("link", "alt", "mime", "payload")], n.alias("n"))
+        entry = F.struct(*[x[k].alias(k) for k in ("link", "mime", "payload")], n.alias("n"))
         return F.struct(n.alias("n"), F.array_append(acc["out"], entry).alias("out"))
 
     start = F.struct(F.lit(0).alias("n"), F.array().cast(_COUNTED).alias("out"))
@@ -184,7 +185,7 @@ def numbered_images(text: Column, base: Column) -> Column:
     return F.transform(counted, number)
 
 
-_COUNTED = "array<struct<link:string,alt:string,mime:string,payload:string,n:int>>"
+_COUNTED = "array<struct<link:string,mime:string,payload:string,n:int>>"
 
 
 def extract_images(bodies: DataFrame, text: str, base: str) -> DataFrame:
@@ -193,7 +194,7 @@ def extract_images(bodies: DataFrame, text: str, base: str) -> DataFrame:
     links = F.transform(
         F.col("images"),
         lambda x: F.when(
-            x["data"].isNotNull(), F.concat(F.lit("!["), x["alt"], F.lit("]("), x["file"], F.lit(")"))
+            x["data"].isNotNull(), F.concat(F.regexp_extract(x["link"], r"^!\[[^\]]*\]\(", 0), x["file"], F.lit(")"))
         ).otherwise(x["link"]),
     )
     return numbered.withColumn(text, put_back(F.col(text), IMAGE_LINK, links))

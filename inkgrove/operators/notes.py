@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrove.functions.patterns import HTML_MEDIA, HTML_TAG
+from inkgrove.functions.splice import drop_all
 from inkgrove.functions.tags import has_tag
-from inkgrove.functions.text import DEFAULT_TITLES, ascii_fold, blank, display_timestamp, list_preview, py_strip
+from inkgrove.functions.text import DEFAULT_TITLES, blank, display_timestamp, list_preview, py_strip
 from inkgrove.plans.sizing import broadcast_if_small
 
 SORT_FIELDS = ("updated_at", "created_at", "title", "content")
@@ -106,13 +107,16 @@ def exists_flags(keys: DataFrame, table: DataFrame, column: str, name: str) -> D
 
 
 def like_either(query: str) -> Column:
-    """``%query%`` on title or content; ``%`` and ``_`` of the query stay live."""
-    pattern = ascii_lower(f"%{query}%").replace("\\", "\\\\")
-    return ascii_fold(F.col("title")).like(pattern) | ascii_fold(F.col("content")).like(pattern)
+    """``%query%`` on title or content; ``%`` and ``_`` of the query stay live.
 
-
-def ascii_lower(text: str) -> str:
-    return "".join(c.lower() if c.isascii() else c for c in text)
+    Java's ``(?i)`` folds ASCII letters only, as SQLite's LIKE does.  The parts
+    between ``%`` are found leftmost first in atomic groups, so that a text is
+    read once whether it matches or not.
+    """
+    parts = [p for p in query.split("%") if p]
+    spelled = ["".join("." if c == "_" else c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in p) for p in parts]
+    pattern = spelled[0] if len(spelled) == 1 else "^" + "".join(f"(?>.*?{p})" for p in spelled)
+    return F.col("title").rlike(f"(?is){pattern}") | F.col("content").rlike(f"(?is){pattern}")
 
 
 def search(notes: DataFrame, query: str, folder_id: str | None = None) -> DataFrame:
@@ -222,7 +226,7 @@ def effectively_empty() -> Column:
     shown = content.rlike(HTML_MEDIA) | content.contains("note-image://") | content.contains("data:image/")
     plain = F.regexp_replace(content, HTML_TAG, "")
     plain = F.replace(plain, F.lit("&nbsp;"), F.lit(" "))
-    plain = F.translate(plain, "\u00a0\u200b", " ")
+    plain = drop_all(F.replace(plain, F.lit("\u00a0"), F.lit(" ")), "\u200b")
     return title.isin(*DEFAULT_TITLES) & ~shown & (py_strip(plain) == "")
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from inkgrove.functions.media import base64_line
 from inkgrove.operators.folders import folder_paths
+from inkgrove.operators.images import embedded_images, tokenize_notes
 from inkgrove.plans.lineage import scratch_path
-from inkgrove.schemas import FOLDERS, LIBRARIES, conform
+from inkgrove.schemas import FOLDERS, LIBRARIES, NOTE_IMAGES, conform
 from inkgrove.sources.store import read_notes, write_notes
 
 NOW = dt.datetime(2025, 1, 1)
@@ -78,6 +79,23 @@ class Data:
     def notes(self, library_id: str | None = None) -> DataFrame:
         return read_notes(self.spark, self.once("store", self._store), library_id)
 
+    def tokenized(self) -> DataFrame:
+        """``notes_img`` as it is saved: tokens in the text, payloads in ``images``."""
+        return read_notes(self.spark, self.once("tokenized", self._tokenized))
+
+    def _tokenized(self) -> str:
+        path = scratch_path(self.spark, "tokenized")
+        write_notes(tokenize_notes(self.notes_img()), path)
+        return path
+
+    def images(self) -> DataFrame:
+        return self.spark.read.schema(NOTE_IMAGES).parquet(self.once("images", self._images))
+
+    def _images(self) -> str:
+        path = scratch_path(self.spark, "images")
+        embedded_images(self.notes_img(), NOW).write.parquet(path)
+        return path
+
     def notes_img(self) -> DataFrame:
         """Every note with its whole text once more, as an embedded image."""
         link = F.concat(

@@ -107,9 +107,7 @@ def _(d):
     """SELECT id AS note_id, checksum FROM notes_img WHERE id NOT IN (SELECT 'd' || doc_id FROM labels WHERE toxic = 1)""",
 )
 def _(d):
-    from inkgrove.operators.images import embedded_images
-
-    notes, images = M.hard_delete(d.notes(), embedded_images(d.notes_img(), NOW), _label_keys(d, "toxic = 1"))
+    notes, images = M.hard_delete(d.notes(), d.images(), _label_keys(d, "toxic = 1"))
     kept = images.join(notes.select(F.col("id").alias("note_id")), "note_id", "left_semi")
     return kept.select("note_id", "checksum")
 
@@ -248,9 +246,7 @@ def _(d):
        UNION ALL SELECT 'image', checksum FROM notes_img WHERE folder_id NOT IN (SELECT id FROM gone)""",
 )
 def _(d):
-    from inkgrove.operators.images import embedded_images
-
-    images = embedded_images(d.notes_img(), NOW)
+    images = d.images()
     folders, notes, images = M.delete_folder(d.folders(), d.notes(), images, d.paths(), "r0")
     return (
         folders.select(F.lit("folder").alias("kind"), F.col("id").alias("key"))

@@ -12,21 +12,13 @@ from inkgrove.registry.datasets import NOW
 _ID = "left(sha256(id || checksum), 16)"
 
 
-def _images(d):
-    return I.embedded_images(d.notes_img(), NOW)
-
-
-def _tokenized(d):
-    return I.tokenize_notes(d.notes_img())
-
-
 @query(
     "tokenize_i1",
     "notes_img",
     f"SELECT id, plain || chr(10) || '![img](note-image://' || {_ID} || ')' AS content FROM notes_img",
 )
 def _(d):
-    return _tokenized(d).select("id", "content")
+    return I.tokenize_notes(d.notes_img()).select("id", "content")
 
 
 @query(
@@ -35,12 +27,12 @@ def _(d):
     f"""SELECT {_ID} AS id, id AS note_id, 'image/png' AS mime_type, payload AS data_base64, checksum FROM notes_img""",
 )
 def _(d):
-    return _images(d).drop("created_at")
+    return I.embedded_images(d.notes_img(), NOW).drop("created_at")
 
 
 @query("image_tokens_i2", "notes_img", f"SELECT id, {_ID} AS token FROM notes_img")
 def _(d):
-    return _tokenized(d).select("id", F.explode(image_tokens(F.col("content"))).alias("token"))
+    return d.tokenized().select("id", F.explode(image_tokens(F.col("content"))).alias("token"))
 
 
 @query(
@@ -51,10 +43,10 @@ def _(d):
 )
 def _(d):
     """Images of deleted notes are missing, so their tokens become empty."""
-    live = _images(d).join(
+    live = d.images().join(
         d.notes().where("deleted_at is null").select(F.col("id").alias("note_id")), "note_id", "left_semi"
     )
-    return I.hydrate(_tokenized(d), live).select("id", "content")
+    return I.hydrate(d.tokenized(), live).select("id", "content")
 
 
 @query(
@@ -65,7 +57,7 @@ def _(d):
 def _(d):
     """Content and JSON share one token and the JSON repeats another."""
     token = F.concat(F.lit("note-image://"), F.left(F.sha2("id", 256), F.lit(16)), F.lit(" "))
-    notes = _tokenized(d).withColumn("content_json", F.concat(token, "content", token))
+    notes = d.tokenized().withColumn("content_json", F.concat(token, "content", token))
     other = notes.withColumn("content", F.concat("content", F.lit(" "), token))
     return other.select("id", F.array_join(I.note_tokens(), ",").alias("tokens"))
 
@@ -78,7 +70,7 @@ def _(d):
 def _(d):
     """Pinned notes lost their image link."""
     plain = F.when(F.col("is_pinned"), F.lit("")).otherwise(F.col("content"))
-    return I.unreferenced_images(_images(d), _tokenized(d).withColumn("content", plain))
+    return I.unreferenced_images(d.images(), d.tokenized().withColumn("content", plain))
 
 
 @query(
@@ -88,7 +80,7 @@ def _(d):
 )
 def _(d):
     plain = F.when(F.col("is_pinned"), F.lit("")).otherwise(F.col("content"))
-    kept = I.collect_garbage(_images(d), _tokenized(d).withColumn("content", plain))
+    kept = I.collect_garbage(d.images(), d.tokenized().withColumn("content", plain))
     return kept.select("id", "note_id", "data_base64")
 
 
@@ -98,7 +90,7 @@ def _(d):
     f"SELECT {_ID} AS id, id AS note_id FROM notes_img WHERE deleted_at IS NOT NULL",
 )
 def _(d):
-    return I.orphan_images(_images(d), d.notes().where("deleted_at is null"))
+    return I.orphan_images(d.images(), d.notes().where("deleted_at is null"))
 
 
 @query(
@@ -108,7 +100,7 @@ def _(d):
 )
 def _(d):
     """Images of deleted notes are stored already, under other ids; new ones come twice."""
-    images = _images(d)
+    images = d.images()
     gone = d.notes().where("deleted_at is not null").select(F.col("id").alias("note_id"))
     stored = images.join(gone, "note_id", "left_semi").withColumn("id", F.concat(F.lit("old-"), "note_id"))
     merged = I.upsert_images(stored.select(*images.columns), images.union(images))

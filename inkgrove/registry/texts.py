@@ -14,7 +14,8 @@ _DOC = "'d' || doc_id AS id"
 
 
 def _docs(d, *columns):
-    return d.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), *columns)
+    notes = d.notes().select("id", F.col("content").alias("text"), F.col("library_id").alias("lang"))
+    return notes.select("id", *columns)
 
 
 def _pages(d, *columns):
@@ -168,12 +169,12 @@ def _(d):
 @query(
     "markdown_marks_f6",
     "",
-    f"""SELECT {_DOC}, {plain_sql("'## ' || text || chr(10) || '- **' || source || '**' || chr(10) || ' 12. `' || lang || '`'")}
+    f"""SELECT {_DOC}, {plain_sql("'## ' || text || chr(10) || '- **d' || doc_id || '**' || chr(10) || ' 12. `' || lang || '`'")}
         || chr(10) || '[이미지:image] [이미지:' || lang || ']' AS plain FROM documents""",
 )
 def _(d):
     marked = F.concat(
-        F.lit("## "), "text", F.lit("\n- **"), "source", F.lit("**\n 12. `"), "lang", F.lit("`\n![](a b) !["), "lang", F.lit("](x)")
+        F.lit("## "), "text", F.lit("\n- **"), "id", F.lit("**\n 12. `"), "lang", F.lit("`\n![](a b) !["), "lang", F.lit("](x)")
     )
     return _docs(d, X.markdown_to_plain(marked).alias("plain"))
 
@@ -269,12 +270,12 @@ _BARE = r"trim(translate(regexp_replace(trim(x), '^#{1,6}\s+', ''), '*`', ''))"
 @query(
     "draft_title_f16",
     "",
-    rf"""SELECT {_DOC}, CASE WHEN doc_id % 3 = 0 THEN source ELSE coalesce(left(list_filter(list_transform(
+    rf"""SELECT {_DOC}, CASE WHEN lang = 'en' THEN 'd' || doc_id ELSE coalesce(left(list_filter(list_transform(
              string_split('# ** ' || chr(10) || text, chr(10)), lambda x: {_BARE}), lambda x: x <> '')[1], 100), '')
              END AS title FROM documents""",
 )
 def _(d):
-    typed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "source", F.lit("\n"))).otherwise(" ")
+    typed = F.when(F.col("lang") == "en", F.concat(F.lit(" "), "id", F.lit("\n"))).otherwise(" ")
     return _docs(d, X.draft_title(typed, F.concat(F.lit("# ** \n"), F.col("text"))).alias("title"))
 
 
@@ -295,10 +296,10 @@ def _(d):
 # Every document, framed by one line of each kind and a table.
 _MARKED_SQL = """
     , lines AS (
-        SELECT 'd' || doc_id AS note_id, string_split('# ' || source || chr(10) || '#### deep' || chr(10) || chr(10)
+        SELECT 'd' || doc_id AS note_id, string_split('# d' || doc_id || chr(10) || '#### deep' || chr(10) || chr(10)
                || ' - *one*' || chr(10) || '12. two' || chr(10) || '![alt](x.png)' || chr(10) || text, chr(10)) AS ls,
-               lang, source FROM documents),
-    numbered AS (SELECT note_id, unnest(range(len(ls))) AS pos, rtrim(unnest(ls), ' ' || chr(9)) AS line, len(ls) AS n, lang, source
+               lang FROM documents),
+    numbered AS (SELECT note_id, unnest(range(len(ls))) AS pos, rtrim(unnest(ls), ' ' || chr(9)) AS line, len(ls) AS n, lang
                  FROM lines)"""
 
 _BULLET = r"^\s*([-*+]|\d+\.)\s+(.*)$"
@@ -329,17 +330,17 @@ def _(d):
 
 
 def _marked(d):
-    head = F.concat(F.lit("# "), "source", F.lit("\n#### deep\n\n - *one*\n12. two\n![alt](x.png)\n"))
-    table = F.concat(F.lit("\n\n| lang | **source** |\n|---|:---:|\n| "), "lang", F.lit(" | "), "source", F.lit(" |\n"))
-    return _docs(d, F.concat(head, F.lit(""), F.col("text"), table).alias("content"))
+    head = F.concat(F.lit("# "), "id", F.lit("\n#### deep\n\n - *one*\n12. two\n![alt](x.png)\n"))
+    table = F.concat(F.lit("\n\n| lang | **note** |\n|---|:---:|\n| "), "lang", F.lit(" | "), "id", F.lit(" |\n"))
+    return _docs(d, F.concat(head, F.col("text"), table).alias("content"))
 
 
 @query(
     "note_tables_b2",
     "",
-    """SELECT 'd' || doc_id AS note_id, CAST(1 AS BIGINT) AS table_no, CAST(0 AS BIGINT) AS row_no, 'lang~source' AS cells
+    """SELECT 'd' || doc_id AS note_id, CAST(1 AS BIGINT) AS table_no, CAST(0 AS BIGINT) AS row_no, 'lang~note' AS cells
        FROM documents
-       UNION ALL SELECT 'd' || doc_id, 1, 1, lang || '~' || source FROM documents""",
+       UNION ALL SELECT 'd' || doc_id, 1, 1, lang || '~d' || doc_id FROM documents""",
 )
 def _(d):
     return B.note_tables(_marked(d)).withColumn("cells", F.array_join("cells", "~"))

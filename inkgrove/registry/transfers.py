@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkgrove.functions.text import plain_text_body
-from inkgrove.operators import images as I
 from inkgrove.plans.lineage import cut, scratch_path
 from inkgrove.registry.base import query
 from inkgrove.registry.datasets import NOW
@@ -47,37 +46,32 @@ def _md_body(plain_column: str = "plain") -> str:
 
 
 def _manifest(d, scope, fmt="md"):
-    images = I.embedded_images(d.notes_img(), NOW)
-    rows = E.export_manifest(scope, fmt, images)
+    rows = E.export_manifest(scope, fmt, d.images())
     return rows.select("note_id", "directory", "file_name", "body", F.size("images").cast("bigint").alias("images"))
 
 
-def _tokenized(d):
-    return I.tokenize_notes(d.notes_img())
-
-
 _MANIFEST = f"SELECT id AS note_id, directory, file_base || '.md' AS file_name, {_md_body()} AS body, CAST(1 AS BIGINT) AS images FROM named"
 
 
 @query("export_all_s11_s12", "notes_img fpath", f"{_ALL} {_MANIFEST}")
 def _(d):
-    return _manifest(d, E.all_scope(_tokenized(d), d.folders(), d.paths()))
+    return _manifest(d, E.all_scope(d.tokenized(), d.folders(), d.paths()))
 
 
 @query("export_folder_s11", "notes_img fpath closure", f"{_REGION} {_MANIFEST}")
 def _(d):
-    return _manifest(d, E.folder_scope(_tokenized(d), d.folders(), d.paths(), "r1"))
+    return _manifest(d, E.folder_scope(d.tokenized(), d.folders(), d.paths(), "r1"))
 
 
 @query("export_favorites_s10", "notes_img", f"{_FAVORITES} {_MANIFEST}")
 def _(d):
-    return _manifest(d, E.favorites_scope(_tokenized(d)))
+    return _manifest(d, E.favorites_scope(d.tokenized()))
 
 
 @query("export_chosen_s16", "notes_img", f"{_CHOSEN} {_MANIFEST}")
 def _(d):
     keys = d.table("labels").where("quality = 0").select(F.concat(F.lit("d"), "doc_id").alias("id"))
-    return _manifest(d, E.chosen_scope(_tokenized(d), keys))
+    return _manifest(d, E.chosen_scope(d.tokenized(), keys))
 
 
 @query(
@@ -107,12 +101,11 @@ def _exported(d, by_id: bool = False):
 
     def make():
         out = scratch_path(d.spark, "export").removeprefix("file:")
-        images = I.embedded_images(d.notes_img(), NOW)
-        notes = _tokenized(d)
+        notes = d.tokenized()
         if by_id:
             notes = notes.withColumn("title", F.col("id"))
         scope = E.all_scope(notes, d.folders(), d.paths())
-        return out, cut(E.write_files(E.export_manifest(scope, "md", images), out))
+        return out, cut(E.write_files(E.export_manifest(scope, "md", d.images()), out))
 
     return d.once(f"export {by_id}", make)
 
@@ -206,7 +199,7 @@ def _(d):
 def _flat_import(d):
     def make():
         out = scratch_path(d.spark, "favorites").removeprefix("file:")
-        cut(E.write_files(E.export_manifest(E.favorites_scope(_tokenized(d)), "txt"), out))
+        cut(E.write_files(E.export_manifest(E.favorites_scope(d.tokenized()), "txt"), out))
         return S.import_directory(d.spark, f"{out}/{E.LABEL_FAVORITES}", d.folders(), NOW, "smart:all", include_subfolders=False)
 
     return d.once("flat", make)
@@ -228,17 +221,14 @@ def _(d):
 @query("decode_utf8_s7", "", "SELECT 'd' || doc_id AS id, text FROM documents")
 def _(d):
     """Texts as files with a byte-order mark and Windows line ends."""
-    raw = F.concat(F.lit("﻿"), F.replace("text", F.lit("\n"), F.lit("\r\n"))).cast("binary")
-    return d.table("documents").select(
-        F.concat(F.lit("d"), "doc_id").alias("id"), S.decode_text(raw).alias("text")
-    )
+    raw = F.concat(F.lit("\ufeff"), F.replace("content", F.lit("\n"), F.lit("\r\n"))).cast("binary")
+    return d.notes().select("id", S.decode_text(raw).alias("text"))
 
 
 @query("decode_legacy_s7")
 def _(d):
     """Texts as Latin-1 bytes, through the whole chain of encodings."""
-    raw = F.encode("text", "ISO-8859-1")
-    return d.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), S.decode_text(raw).alias("text"))
+    return d.notes().select("id", S.decode_text(F.encode("content", "ISO-8859-1")).alias("text"))
 
 
 @query(

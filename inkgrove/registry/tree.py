@@ -211,10 +211,7 @@ def _(d):
 )
 def _(d):
     """Payloads held by several notes; within a note they are unique."""
-    from inkgrove.operators.images import embedded_images
-    from inkgrove.registry.datasets import NOW
-
-    return C.duplicate_keys(embedded_images(d.notes_img(), NOW).select("checksum"), ["checksum"])
+    return C.duplicate_keys(d.images().select("checksum"), ["checksum"])
 
 
 @query(
@@ -228,11 +225,8 @@ def _(d):
 )
 def _(d):
     """Three folders are taken out, and images of deleted notes count as broken."""
-    from inkgrove.operators.images import embedded_images
-    from inkgrove.registry.datasets import NOW
-
     folders = d.folders().where(~F.col("id").isin("s1", "s2", "n3"))
-    images = embedded_images(d.notes_img(), NOW).select("id", "note_id")
+    images = d.images().select("id", "note_id")
     notes = d.notes()
     kept = notes.where("deleted_at is null")
     parts = C.reference_report(notes, folders, images.limit(0))
