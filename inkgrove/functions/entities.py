@@ -30,7 +30,7 @@ COMMON = [
 ]
 # --- end of fixed values
 
-_HARD = r"&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)(?:#[0-9xX]|[^\t\n\f <&#;])"
+RARE_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)(?:#[0-9xX]|[^\t\n\f <&#;])"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -43,9 +43,9 @@ def _resolve(references: pd.Series) -> pd.Series:
 
 def simplify_entities(text: Column) -> Column:
     """Rewrite rare references as characters or as common references."""
-    hard = text.rlike(_HARD)
-    resolved = _resolve(F.when(hard, matches(text, ENTITY)))
-    return F.when(hard, put_back(text, ENTITY, resolved)).otherwise(text)
+    rare = text.rlike(RARE_ENTITY)
+    resolved = _resolve(F.when(rare, matches(text, ENTITY)))
+    return F.when(rare, put_back(text, ENTITY, resolved)).otherwise(text)
 
 
 def unescape_common(text: Column) -> Column:

@@ -19,7 +19,7 @@ PY_LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 DATA_URL = r"data:(image/[a-zA-Z0-9.+-]+);base64,([A-Za-z0-9+/=\r\n]+)"
 IMAGE_TOKEN = r"note-image://([a-zA-Z0-9_-]+)"
 IMAGE_LINK = r"!\[([^\]]*)\]\(([^)]+)\)"
-HTML_BREAK = r"(?iu)<br[" + PY_SPACE_SET + r"]*/?>"
+HTML_BREAK = r"(?i)<br[" + PY_SPACE_SET + r"]*/?>"
 HTML_BLOCK_END = r"(?iu)</(p|div|li|ul|ol|h[1-6]|section|article|blockquote|pre)>"
 HTML_TAG = r"<[^>]+>"
 HTML_TABLE = r"(?iU)<table\b[^>]*>(?s:.*?)</table>"

@@ -34,6 +34,16 @@ def latest_fields() -> list[Column]:
     return [F.max("version").alias("version"), *newest]
 
 
+def _newest() -> list[Column]:
+    """Like ``latest_fields``, each value with its version, so that results can be
+    combined again."""
+    pairs = [
+        F.max(F.when(F.col(f).isNotNull(), F.struct(F.col("version").alias("v"), F.col(f).alias("value")))).alias(f)
+        for f in FIELDS
+    ]
+    return [F.max("version").alias("version"), *pairs]
+
+
 def latest_per_note(edits: DataFrame) -> DataFrame:
     """One row per note; partial results shrink a hot note early."""
     return edits.groupBy("note_id").agg(*latest_fields())
@@ -56,7 +66,7 @@ def burst_saves(edits: DataFrame, gap_ms: int) -> DataFrame:
     at = _micros(F.col("ts"))
     cells = edits.groupBy(
         "note_id", (at - F.pmod(at, F.lit(gap * _BLOCK))).alias("block"), (at - F.pmod(at, F.lit(gap))).alias("cell")
-    ).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("edits"), *latest_fields())
+    ).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("edits"), *_newest())
     blocks = cells.groupBy("note_id", "block").agg(F.max("last").alias("block_last"))
     by_block = Window.partitionBy("note_id").orderBy("block")
     carried = blocks.withColumn("carried", F.lag("block_last").over(by_block)).drop("block_last")
@@ -78,7 +88,10 @@ def burst_saves(edits: DataFrame, gap_ms: int) -> DataFrame:
     )
     joined = cells.join(named, ["note_id", "block", "cell"])
     saves = joined.groupBy("note_id", "burst").agg(
-        F.max("last").alias("last"), F.sum("edits").alias("edits"), *latest_fields()
+        F.max("last").alias("last"),
+        F.sum("edits").alias("edits"),
+        F.max("version").alias("version"),
+        *[F.max(f)["value"].alias(f) for f in FIELDS],
     )
     return saves.select(
         "note_id",
