@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgrove.functions.patterns import ENTITY
-from inkgrove.functions.splice import matches, put_back
+from inkgrove.functions.splice import let, matches, only_with, put_back
 
 # --- fixed values; the ampersand is resolved last, so that one pass is enough
 COMMON = [
@@ -43,16 +43,25 @@ def _resolve(references: pd.Series) -> pd.Series:
 
 def simplify_entities(text: Column) -> Column:
     """Rewrite rare references as characters or as common references."""
-    rare = text.rlike(RARE_ENTITY)
-    resolved = _resolve(F.when(rare, matches(text, ENTITY)))
-    return F.when(rare, put_back(text, ENTITY, resolved)).otherwise(text)
+    # ``text`` is often a long expression; ``let`` keeps it from being repeated.
+    resolved = _resolve(
+        let(text, lambda t: F.when(t.contains("&") & t.rlike(RARE_ENTITY), matches(t, ENTITY)))
+    )
+    return let(
+        F.struct(text.alias("text"), resolved.alias("resolved")),
+        lambda x: F.when(x["resolved"].isNull(), x["text"]).otherwise(put_back(x["text"], ENTITY, x["resolved"])),
+    )
 
 
 def unescape_common(text: Column) -> Column:
     """Resolve the common references, natively."""
-    for reference, character in COMMON:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+
+    def each(text: Column) -> Column:
+        for reference, character in COMMON:
+            text = F.replace(text, F.lit(reference), F.lit(character))
+        return text
+
+    return only_with(text, "&", each)
 
 
 def unescape(text: Column) -> Column:

@@ -249,28 +249,22 @@ def _(d):
     return _ids(N.note_view(d.notes(), N.ViewSpec(folder_id="smart:favorites", tag="en", current_note_id="d5")))
 
 
-# Placeholder notes: the first two are empty, the others show an image.
-_EMPTY_CASES = [
-    ("", "<p></p>"),
-    ("새 노트", "<p>&nbsp; ​<br></p>"),
-    ("", '<img src="http://x/y.png">'),
-    ("제목 없는 노트", "![a](data:image/png;base64,AA==)"),
-]
-
-
-@query(
-    "empty_notes_p14",
-    "active",
-    "SELECT id FROM active WHERE CAST(substr(id, 2) AS BIGINT) % 8 IN (0, 1)",
-)
-def _(d):
-    """Half of the notes get placeholder content; the others keep theirs."""
-    at = F.substring("id", 2, 20).cast("bigint") % 8
-    title, content = F.col("title"), F.col("content")
-    for i, (t, c) in enumerate(_EMPTY_CASES):
-        title = F.when(at == i, t).otherwise(title)
-        content = F.when(at == i, c).otherwise(content)
-    return N.empty_notes(d.notes().withColumns({"title": title, "content": content})).select("id")
+@query("empty_notes_p14", "active", "SELECT id FROM active WHERE library_id IN ('de', 'fr')")
+def _(d):
+    """Notes of two languages hold placeholders only, those of a third an image."""
+    lang = F.col("library_id")
+    image = F.when(F.col("is_pinned"), "![a](data:image/png;base64,AA==)").otherwise('<img src="http://x/y.png">')
+    return N.empty_notes(
+        d.notes().withColumns(
+            {
+                "title": F.when(lang == "de", "").when(lang == "fr", "새 노트").when(lang == "es", "").otherwise(F.col("title")),
+                "content": F.when(lang == "de", "<p></p>")
+                .when(lang == "fr", "<p>&nbsp; \u200b<br></p>")
+                .when(lang == "es", image)
+                .otherwise(F.col("content")),
+            }
+        )
+    ).select("id")
 
 
 @query(

@@ -201,16 +201,16 @@ def _(d):
 @query(
     "create_folders_limited_m9_f23",
     "folders",
-    """SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent_id FROM customer WHERE c_custkey % 2 = 0""",
+    """SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent_id FROM customer WHERE c_acctbal >= 0""",
 )
 def _(d):
-    """Half of the drafts ask for a parent on the third level, and are refused."""
+    """Customers in debt ask for a parent on the third level, and are refused."""
     suppliers = d.table("supplier").agg(F.count("*")).scalar()
     key = F.col("c_custkey")
     drafts = d.table("customer").select(
         F.concat(F.lit("c"), key).alias("id"),
         F.col("c_name").alias("name"),
-        F.when(key % 2 == 0, F.concat(F.lit("n"), "c_nationkey"))
+        F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("n"), "c_nationkey"))
         .otherwise(F.concat(F.lit("s"), key % suppliers))
         .alias("parent_id"),
     )

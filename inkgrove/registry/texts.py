@@ -204,12 +204,11 @@ def _(d):
                '무제' AS blank_name FROM pages""",
 )
 def _(d):
-    dots = F.concat(F.lit(" .. "), F.left("url", F.lit(0)))
     return _pages(
         d,
         X.safe_file_name(F.concat(F.lit(" "), "url", F.lit(". "))).alias("name"),
         X.safe_file_name(F.col("html")).alias("long_name"),
-        X.safe_file_name(dots).alias("blank_name"),
+        X.safe_file_name(F.lit(" .. ")).alias("blank_name"),
     )
 
 
