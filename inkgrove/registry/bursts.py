@@ -113,10 +113,12 @@ def _(d):
     """Saves in version order; every hundredth event flushes its note."""
     flush = F.when(F.col("version") % 100 == 99, "flush").otherwise(F.col("kind"))
     out = scratch_path(d.spark, "gate")
-    d.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     saves = E.gate_saves(d.edit_stream().withColumn("kind", flush), HOUR_MS, "10 hours")
-    _run(saves.writeStream.format("parquet").option("path", f"{out}/saves"), f"{out}/checkpoint")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = d.spark.conf.get(setting)
+    d.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _run(saves.writeStream.format("parquet").option("path", f"{out}/saves"), f"{out}/checkpoint")
+    finally:
+        d.spark.conf.set(setting, before)
     return d.spark.read.schema(E.SAVE_SCHEMA).parquet(f"{out}/saves")
