@@ -18,7 +18,8 @@ TABLES = {"notes": NOTES, "folders": FOLDERS, "note_images": NOTE_IMAGES, "libra
 def write_notes(notes: DataFrame, path: str) -> None:
     """Write a snapshot of ``notes`` (with ``library_id``) to a fresh path."""
     typed = conform(notes, NOTES)
-    clustered = typed.repartitionByRange("library_id", "updated_at").sortWithinPartitions("library_id", "updated_at")
+    # The id splits rows that share a time, such as those of one import.
+    clustered = typed.repartitionByRange("library_id", "updated_at", "id").sortWithinPartitions("library_id", "updated_at")
     clustered.write.mode("overwrite").partitionBy("library_id").parquet(path)
 
 
