@@ -46,6 +46,11 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def values(column: pa.Array) -> Iterator:
+    """Entries one by one, so that long texts are not all held twice."""
+    return (entry.as_py() for entry in column)
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary").alias(column)
@@ -55,13 +60,13 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 
 
-def mix(values: np.ndarray) -> np.ndarray:
+def mix(hashes: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
-    values = values ^ (values >> np.uint64(33))
-    values = values * np.uint64(0xFF51AFD7ED558CCD)
-    values = values ^ (values >> np.uint64(33))
-    values = values * np.uint64(0xC4CEB9FE1A85EC53)
-    return values ^ (values >> np.uint64(33))
+    hashes = hashes ^ (hashes >> np.uint64(33))
+    hashes = hashes * np.uint64(0xFF51AFD7ED558CCD)
+    hashes = hashes ^ (hashes >> np.uint64(33))
+    hashes = hashes * np.uint64(0xC4CEB9FE1A85EC53)
+    return hashes ^ (hashes >> np.uint64(33))
 
 
 class WordHashes(dict):
