@@ -17,6 +17,16 @@ from inkgrove.plans.lineage import scratch_path
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a batch or two.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches from here on in this session."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +85,7 @@ class WordHashes(dict):
     Hashes depend on the word only, so workers agree and forgetting is harmless.
     """
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

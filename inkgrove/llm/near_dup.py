@@ -240,7 +240,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
                 sets[node] = hashes if _digest(hashes)[0] == hi else None
             return sets[node]
 
-        out = []
+        out, diffs = [], []
         columns = ("u", "v", "t_u", "t_v", "h_u", "h_v")
         for u, v, t_u, t_v, h_u, h_v in zip(*(values(batch.column(c)) for c in columns)):
             a, b = of(u, t_u, h_u), of(v, t_v, h_v)
@@ -250,10 +250,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
                 continue
             common = len(np.intersect1d(a, b, assume_unique=True))
             linked = under * common >= over * (len(a) + len(b) - common)
-            diff = signed(np.setxor1d(a, b, assume_unique=True)).tolist()
-            out.append((u, v, len(a), len(b), len(b) - common, len(a) - common, linked, diff))
-        fields = [pa.int64()] * 6 + [pa.bool_(), pa.list_(pa.int64())]
-        arrays = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, fields)]
+            diffs.append(signed(np.setxor1d(a, b, assume_unique=True)))
+            out.append((u, v, len(a), len(b), len(b) - common, len(a) - common, linked))
+        fields = [pa.int64()] * 6 + [pa.bool_()]
+        arrays = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, fields)]
+        ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *diffs]))))
         yield pa.RecordBatch.from_arrays(arrays, [p.split()[0] for p in schema.split(", ")])
 
     sides = [

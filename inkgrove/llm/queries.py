@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrove.llm import line_dedup, near_dup, packing, secrets, token_counts
-from inkgrove.llm.common import table
+from inkgrove.llm.common import bound_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return function(spark, sf_dir)
+
+    run.__name__, run.__doc__ = function.__name__, function.__doc__
+    QUERIES[function.__name__] = run
+    return run
 
 
 @query
