@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm.common import (
     ASCII_LOWER,
+    Kept,
     map_batches,
     mix,
     shingle_hashes,
@@ -116,10 +117,16 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The registers, four to a 64-bit key."""
+    """The registers, four to a 64-bit number."""
     return registers(hashes).view(np.int64)
 
 
+def bucket_keys(bands: np.ndarray) -> np.ndarray:
+    """One key for a band's place and its registers, from rows of band keys."""
+    place = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return signed(mix(mix(bands.view(np.uint64)) + place))
+
+
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Chance that registers of sets of n and m elements are equal without a common minimum."""
     rho = np.arange(0, 50)
@@ -171,6 +178,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, REGISTERS)
 
 
+def _members(batch: pa.RecordBatch):
+    """(key, node) of every bucket that the classes (node, bands) fall into."""
+    bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    node = np.repeat(batch.column("node").to_numpy(), BANDS)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(bands).ravel()), pa.array(node)], ["key", "node"])
+
+
 def _near(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
     """Add ``near`` to pairs (u, v): whether the estimated similarity reaches ``cut``."""
     sides = [classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"b_{s}")) for s in "uv"]
@@ -184,18 +198,17 @@ def _near(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
 
 
 def _blocks(members: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
-    """Near pairs with a far member, among (band, key, node, far, size) of whole buckets.
+    """Near pairs (u, v) with a far member, among (key, node, far, size) of whole buckets.
 
     A bucket is dealt into blocks of about ``BLOCK`` members; each pair of blocks is one
-    bounded group.  A pair leaves the group of the first band it shares only.
+    bounded group.  A pair leaves the group of the first bucket it shares only.
     """
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     dealt = (
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
+        .select("key", "node", "far", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         .join(classes.select("node", "n", "bands"), "node")
     )
 
@@ -203,32 +216,34 @@ def _blocks(members: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         nodes, far = rows["node"].to_numpy(), rows["far"].to_numpy(bool)
         blocks, sizes = rows["own"].to_numpy(), rows["n"].to_numpy(float)
-        keys = np.stack(rows["bands"].to_numpy())
-        regs = np.ascontiguousarray(keys).view(np.uint16)
-        band, _, i, j = key
+        bands = np.stack(rows["bands"].to_numpy())
+        regs, keys = np.ascontiguousarray(bands).view(np.uint16), bucket_keys(bands)
+        bucket, i, j = key
         us, vs = [], []
         for at in np.flatnonzero(far):
             # Two far members meet once, from the smaller; pairs inside a block belong to (i, i).
             other = np.flatnonzero((~far | (nodes > nodes[at])) & ((blocks != blocks[at]) | (i == j)))
             if not len(other):
                 continue
-            same = estimate(regs[other], np.broadcast_to(regs[at], (len(other), REGISTERS)), sizes[other], np.full(len(other), sizes[at]))
-            first = np.argmax(keys[other] == keys[at], axis=1)
-            other = other[(same >= cut) & (first == band)]
+            mine = np.broadcast_to(regs[at], (len(other), REGISTERS))
+            same = estimate(regs[other], mine, sizes[other], np.full(len(other), sizes[at]))
+            first = np.argmax(bands[other] == bands[at], axis=1)
+            other = other[(same >= cut) & (keys[at, first] == bucket)]
             us += [nodes[at]] * len(other)
             vs += nodes[other].tolist()
         return pd.DataFrame({"u": np.asarray(us, np.int64), "v": np.asarray(vs, np.int64)})
 
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "u long, v long")
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
-    """Compare pairs (u, v) on full sets: (u, v, n_u, n_v, missing, new, linked, diff).
+    """Compare pairs (u, v, star) on full sets: adds n_u, n_v, missing, linked and diff.
 
-    ``diff`` holds the elements of v that u lacks and those that only u has.
+    ``missing`` counts the elements of v that u lacks; ``diff`` holds these and the
+    elements that only u has, for pairs of a star.
     """
     words, over, under = like.words, like.over, like.under
-    schema = "u long, v long, n_u long, n_v long, missing long, new long, linked boolean, diff array<long>"
+    schema = "u long, v long, star boolean, n_u long, n_v long, missing long, linked boolean, diff array<long>"
 
     def run(batch: pa.RecordBatch):
         sets: dict[int, np.ndarray] = {}
@@ -241,8 +256,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
             return sets[node]
 
         out, diffs = [], []
-        columns = ("u", "v", "t_u", "t_v", "h_u", "h_v")
-        for u, v, t_u, t_v, h_u, h_v in zip(*(values(batch.column(c)) for c in columns)):
+        columns = ("u", "v", "star", "t_u", "t_v", "h_u", "h_v")
+        for u, v, star, t_u, t_v, h_u, h_v in zip(*(values(batch.column(c)) for c in columns)):
             a, b = of(u, t_u, h_u), of(v, t_v, h_v)
             sets.pop(u, None)
             if a is None or b is None:
@@ -250,9 +265,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
                 continue
             common = len(np.intersect1d(a, b, assume_unique=True))
             linked = under * common >= over * (len(a) + len(b) - common)
-            diffs.append(signed(np.setxor1d(a, b, assume_unique=True)))
-            out.append((u, v, len(a), len(b), len(b) - common, len(a) - common, linked))
-        fields = [pa.int64()] * 6 + [pa.bool_()]
+            diffs.append(signed(np.setxor1d(a, b, assume_unique=True)) if star else np.empty(0, np.int64))
+            out.append((u, v, star, len(a), len(b), len(b) - common, linked))
+        fields = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.bool_()]
         arrays = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, fields)]
         ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
         arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *diffs]))))
@@ -284,37 +299,39 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
     return met.where(like.under * common >= like.over * union).select(F.col("u").alias("a"), F.col("u2").alias("b"))
 
 
-def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str) -> DataFrame:
-    """Linked pairs (a, b) of classes (node, id, n, hi, bands)."""
-    members = classes.where(F.col("n") >= like.least_size).select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(sizes, ["band", "key"]), "members")
+def links(
+    classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str, kept: Kept
+) -> DataFrame:
+    """Linked pairs (a, b) of classes (node, n, hi, bands); a node is the class' smallest id."""
+    members = map_batches(
+        classes.where(F.col("n") >= like.least_size).select("node", "bands"), _members, "key long, node long"
+    )
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = kept(members.join(sizes, "key"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighted = members.join(weights, "node")
-    centres = weighted.groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
-    around = stored(members.join(centres, ["band", "key"]).where("node <> v"), "around")
+    centres = weighted.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
+    around = members.join(centres, "key").where("node <> v")
 
     pairs = around.select(F.col("node").alias("u"), "v").distinct()
-    rated = stored(_near(pairs, classes, like.cut), "rated")
+    rated = kept(_near(pairs, classes, like.cut))
     apart = rated.where("NOT near").select("u", F.col("v").alias("centre"))
     far = around.join(apart, (F.col("node") == F.col("u")) & (F.col("v") == F.col("centre")), "left_semi")
-    far = far.select("band", "key", "node", F.lit(True).alias("far"))
-    mixed = members.join(far.select("band", "key").distinct(), ["band", "key"], "left_semi")
-    mixed = mixed.join(far, ["band", "key", "node"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
+    far = far.select("key", "node", F.lit(True).alias("far"))
+    mixed = members.join(far.select("key").distinct(), "key", "left_semi")
+    mixed = mixed.join(far, ["key", "node"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
     extra = _blocks(mixed, classes, like.cut).distinct()
 
     stars = rated.where("near").select("u", "v", F.lit(True).alias("star"))
-    wanted = stored(stars.union(extra.withColumn("star", F.lit(False))), "pairs")
+    wanted = kept(stars.union(extra.withColumn("star", F.lit(False))))
     nodes = wanted.select(F.col("u").alias("node")).union(wanted.select("v")).distinct()
-    # Only candidates' texts are moved, once.
-    known = classes.join(nodes, "node", "left_semi").select("node", "hi", F.col("id").alias("__id"))
-    texts = docs.select(F.col(id_column).alias("__of"), text_bytes(column).alias("text"))
-    texts = texts.join(known.hint("shuffle_hash"), F.col("__of") == F.col("__id")).select("node", "hi", "text")
-    texts = stored(texts, "texts")
-    beside = stored(_confirm(wanted.where("star").select("u", "v"), texts, like), "stars")
-    others = _confirm(wanted.where("NOT star").select("u", "v"), texts, like).where("linked")
-    straight = beside.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    return straight.union(_beside_centre(beside, like)).union(others.select("u", "v"))
+    # Only candidates' texts are moved.
+    known = classes.join(nodes, "node", "left_semi").select("node", "hi")
+    texts = docs.select(F.col(id_column).alias("node"), text_bytes(column).alias("text"))
+    texts = texts.join(known.hint("shuffle_hash"), "node").select("node", "hi", "text")
+    compared = kept(_confirm(wanted, texts, like))
+    straight = compared.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return straight.union(_beside_centre(compared.where("star"), like))
 
 
 def near_duplicates(
@@ -328,28 +345,23 @@ def near_duplicates(
     or blank texts) are linked with nothing.  Rows with a null id take no part: their
     component is null and they are kept.  Repeated rows (same id) share a component.
     Texts are used whole.  An empty table gives an empty result; other columns of
-    ``docs`` are ignored.
+    ``docs`` are ignored.  Ids are integers.
     """
-    found = stored(sketches(docs, like.words, id_column, column).withColumnRenamed(id_column, "id"), "sketches")
-    rows = found.where("id IS NOT NULL AND n > 0").withColumn("row", F.monotonically_increasing_id())
-    classes = stored(
-        rows.groupBy("hi", "lo")
-        .agg(F.min(F.struct("id", "row", "n", "bands")).alias("r"))
-        .select("hi", "lo", F.col("r.row").alias("node"), "r.id", "r.n", "r.bands"),
-        "classes",
-    )
-    linked = components(links(classes, docs, like, id_column, column))
-    named = classes.select("hi", "lo", "node", "id").join(linked, "node")
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "component").select("hi", "lo", "component_id")
-    # Classes of one document that nothing is linked to need no lookup beyond their digest.
-    own = classes.select("hi", "lo", F.col("id").alias("class_id"))
-    labels = own.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("component_id", "class_id").alias("label"))
-    label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
-    out = found.drop("bands").join(labels, ["hi", "lo"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), label))
-    return out.select(
-        F.col("id").alias(id_column),
-        F.col("n").alias("n_shingles"),
-        "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-    )
+    with Kept() as kept:
+        found = kept(sketches(docs, like.words, id_column, column).withColumnRenamed(id_column, "id"))
+        rows = found.where("id IS NOT NULL AND n > 0")
+        classes = rows.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
+        classes = kept(classes.select("hi", "lo", F.col("r.id").alias("node"), "r.n", "r.bands"))
+        linked = components(links(classes, docs, like, id_column, column, kept))
+        labels = classes.select("hi", "lo", "node").join(linked, "node", "left")
+        labels = labels.select("hi", "lo", F.coalesce("component", "node").alias("label"))
+        label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
+        out = found.drop("bands").join(labels, ["hi", "lo"], "left")
+        out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), label))
+        out = out.select(
+            F.col("id").alias(id_column),
+            F.col("n").alias("n_shingles"),
+            "component_id",
+            F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        )
+        return stored(out, "near-duplicates")
