@@ -36,11 +36,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
     Cuts the lineage like a reliable checkpoint, but in columns: later reads are
-    pruned, and a lost executor costs no recomputation.
+    pruned, and a lost executor costs no recomputation.  Files get an even size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,11 +10,11 @@ from inkgrove.llm.common import stored
 
 def _is_star(edges: DataFrame) -> bool:
     """Whether every left node has one edge, to a node that is never on the left."""
-    roots = edges.select(F.col("b").alias("a"), F.lit(2).alias("n"))
-    sides = edges.select("a", F.lit(1).alias("n")).union(roots.distinct())
+    right = edges.select(F.col("b").alias("a"), F.lit(2).alias("n")).distinct()
+    sides = edges.select("a", F.lit(1).alias("n")).union(right)
     # A left node counts 1 per edge; a node on both sides counts 2 more.
     both = sides.groupBy("a").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
-    return both.where("n > 2 OR (n = 2 AND least = 1)").limit(1).count() == 0
+    return both.where("least = 1 AND n > 1").limit(1).count() == 0
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds grow with the logarithm of the number of nodes.  Every step is an aggregation
     or an equi-join on edges, so no component is ever gathered.  Direction, repetition and
-    loops of edges don't matter.
+    loops of edges don't matter; without edges the result is empty.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stored(edges, "edges")
@@ -44,43 +44,5 @@ def components(edges: DataFrame) -> DataFrame:
             .union(least.select("a", F.col("least").alias("b")))
         )
         edges = stored(small.where("a <> b").distinct(), "edges")
-    roots = edges.select(F.col("b").alias("a"), F.lit(2).alias("n"))
-    sides = edges.select("a", F.lit(1).alias("n")).union(roots.distinct())
-    # A left node counts 1 per edge; a node on both sides counts 2 more.
-    both = sides.groupBy("a").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
-    return both.where("n > 2 OR (n = 2 AND least = 1)").limit(1).count() == 0
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """(a, least): the smallest of a node and its neighbours, for every node on the left."""
-    return edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("least"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b); the component is its smallest node.
-
-    Rounds grow with the logarithm of the number of nodes.  Every step is an aggregation
-    or an equi-join on edges, so no component is ever gathered.  Direction, repetition and
-    loops of edges don't matter.
-    """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(edges, "edges")
-    mark = _mark(edges)
-    while mark[0]:
-        # Large star: a node's larger neighbours move to its smallest neighbour.
-        both = edges.union(edges.select("b", "a"))
-        large = both.where("b > a").join(_least(both), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = stored(large.where("a <> b").distinct(), "edges")
-        # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = _least(large)
-        small = (
-            large.join(least, "a")
-            .select(F.col("b").alias("a"), F.col("least").alias("b"))
-            .union(least.select("a", F.col("least").alias("b")))
-        )
-        edges = stored(small.where("a <> b").distinct(), "edges")
-        before, mark = mark, _mark(edges)
-        if before == mark:
-            break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -314,7 +314,7 @@ def links(
     around = members.join(centres, "key").where("node <> v")
 
     pairs = around.select(F.col("node").alias("u"), "v").distinct()
-    rated = kept(_near(pairs, classes, like.cut))
+    rated = stored(_near(pairs, classes, like.cut), "rated")
     apart = rated.where("NOT near").select("u", F.col("v").alias("centre"))
     far = around.join(apart, (F.col("node") == F.col("u")) & (F.col("v") == F.col("centre")), "left_semi")
     far = far.select("key", "node", F.lit(True).alias("far"))
@@ -323,13 +323,13 @@ def links(
     extra = _blocks(mixed, classes, like.cut).distinct()
 
     stars = rated.where("near").select("u", "v", F.lit(True).alias("star"))
-    wanted = kept(stars.union(extra.withColumn("star", F.lit(False))))
+    wanted = stored(stars.union(extra.withColumn("star", F.lit(False))), "wanted")
     nodes = wanted.select(F.col("u").alias("node")).union(wanted.select("v")).distinct()
     # Only candidates' texts are moved.
     known = classes.join(nodes, "node", "left_semi").select("node", "hi")
     texts = docs.select(F.col(id_column).alias("node"), text_bytes(column).alias("text"))
     texts = texts.join(known.hint("shuffle_hash"), "node").select("node", "hi", "text")
-    compared = kept(_confirm(wanted, texts, like))
+    compared = stored(_confirm(wanted, texts, like), "compared")
     straight = compared.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
     return straight.union(_beside_centre(compared.where("star"), like))
 
