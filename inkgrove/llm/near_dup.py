@@ -16,9 +16,9 @@ A document is its set of word shingles.
    difference to the centre.
 6. *The rest of a bucket.* Two members of a star that are not both linked to its centre
    c can be similar only if their differences to c meet: with A what of c is missing and B
-   what is new, their overlap is |c| - |A1| - |A2| + |A1 n A2| + |B1 n B2|.  A join on
-   single elements of the differences therefore finds all such pairs and their exact
-   similarity.  Members far from the centre are compared with the whole bucket by sketch,
+   what is new, their overlap is |c| - |A1| - |A2| + |A1 n A2| + |B1 n B2|.  A join on the
+   rarest elements of the differences therefore finds all such pairs, and the differences
+   give their exact similarity.  Members far from the centre are compared with the whole bucket by sketch,
    in blocks of bounded size; only pairs that look near leave a block.
 7. Linked classes are joined to components.
 
@@ -29,10 +29,11 @@ than the margin, six standard deviations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -212,28 +213,43 @@ def _blocks(members: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
         .join(classes.select("node", "n", "bands"), "node")
     )
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        nodes, far = rows["node"].to_numpy(), rows["far"].to_numpy(bool)
-        blocks, sizes = rows["own"].to_numpy(), rows["n"].to_numpy(float)
-        bands = np.stack(rows["bands"].to_numpy())
+    def compare(bucket, i, j, nodes, far, blocks, sizes, bands):
         regs, keys = np.ascontiguousarray(bands).view(np.uint16), bucket_keys(bands)
-        bucket, i, j = key
-        us, vs = [], []
         for at in np.flatnonzero(far):
             # Two far members meet once, from the smaller; pairs inside a block belong to (i, i).
             other = np.flatnonzero((~far | (nodes > nodes[at])) & ((blocks != blocks[at]) | (i == j)))
-            if not len(other):
-                continue
-            mine = np.broadcast_to(regs[at], (len(other), REGISTERS))
-            same = estimate(regs[other], mine, sizes[other], np.full(len(other), sizes[at]))
-            first = np.argmax(bands[other] == bands[at], axis=1)
-            other = other[(same >= cut) & (keys[at, first] == bucket)]
-            us += [nodes[at]] * len(other)
-            vs += nodes[other].tolist()
-        return pd.DataFrame({"u": np.asarray(us, np.int64), "v": np.asarray(vs, np.int64)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
+            if len(other):
+                mine = np.broadcast_to(regs[at], (len(other), REGISTERS))
+                same = estimate(regs[other], mine, sizes[other], np.full(len(other), sizes[at]))
+                first = np.argmax(bands[other] == bands[at], axis=1)
+                other = other[(same >= cut) & (keys[at, first] == bucket)]
+                yield np.full(len(other), nodes[at]), nodes[other]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "far", "own", "n")]
+                rows.append(batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
+                held = rows if held is None else [np.concatenate(c) for c in zip(held, rows)]
+                if not len(held[0]):
+                    continue
+            if held is None:
+                return
+            key, i, j = held[:3]
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            ends = np.r_[starts[1:], len(key)]
+            whole = len(starts) - (batch is not None)  # the last group may go on in the next batch
+            found = [
+                pair
+                for s, e in zip(starts[:whole], ends[:whole])
+                for pair in compare(key[s], i[s], j[s], *(c[s:e] for c in held[3:]))
+            ]
+            held = [c[starts[-1] :] for c in held]
+            u, v = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*found) if found else [(), ()]))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
@@ -280,23 +296,44 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
-    """Linked pairs (a, b) of members of a star of which one or both aren't linked to its centre."""
-    loose = stars.where("NOT linked").select("v").distinct()
-    rows = stars.join(loose, "v", "left_semi").select(
-        "v", "u", "n_u", "n_v", "missing", "linked", F.explode("diff").alias("x")
-    )
-    # Elements that only one member has can't make a pair.
-    shared = rows.groupBy("v", "x").agg(F.count("*").alias("c"), F.min("linked").alias("all")).where("c > 1 AND NOT all")
-    rows = rows.join(shared.select("v", "x"), ["v", "x"], "left_semi")
-    left = rows.where("NOT linked")
-    right = rows.select("v", "x", *[F.col(c).alias(f"{c}2") for c in ("u", "n_u", "missing", "linked")])
-    pairs = left.join(right, ["v", "x"]).where("u <> u2 AND (linked2 OR u < u2)")
-    met = pairs.groupBy("v", "u", "u2").agg(
-        F.count("*").alias("met"), *[F.first(c).alias(c) for c in ("n_u", "n_u2", "n_v", "missing", "missing2")]
+    """Linked pairs (a, b) of members of a star of which one or both aren't linked to its centre.
+
+    Let a member lack ``a`` elements of the centre's ``n`` and have ``b`` others.  Members
+    1 and 2 are linked if their differences share at least
+
+        (under * (a1 + a2) + over * (b1 + b2) - n * (under - over)) / (under + over)
+
+    elements.  Without member 2's terms this is positive exactly if member 1 isn't linked to
+    the centre.  So each member must find one of its rarest elements, as many as it has beyond
+    the least number it must share, in the other's difference.
+    """
+    over, under = like.over, like.under
+    own = under * F.col("a") + over * F.col("b")
+    rows = stars.select("v", "u", "n_u", "n_v", "linked", "diff", F.col("missing").alias("a"))
+    rows = rows.withColumn("b", F.size("diff") - F.col("a"))
+    excess = own - F.col("n_v") * (under - over)
+    loose = rows.where("NOT linked").groupBy("v").agg(F.min(excess).alias("excess"))
+    rows = rows.join(loose, "v").withColumn("least", F.ceil((F.col("excess") + own) / (over + under)))
+
+    single = rows.select("v", "u", "linked", "least", F.explode("diff").alias("x"))
+    spread = single.groupBy("v", "x").agg(F.count("*").alias("held"))
+    rated = single.join(spread, ["v", "x"])
+    rarest = (
+        rated.groupBy("v", "u", "least")
+        .agg(F.sort_array(F.collect_list(F.struct("held", "x"))).alias("xs"))
+        .withColumn("n", F.greatest(F.lit(0), F.size("xs") - F.col("least") + 1).cast("int"))
+        .select("v", "u", F.explode(F.slice("xs", F.lit(1), F.col("n"))).alias("e"))
+        .where("e.held > 1")
+        .select("v", F.col("e.x").alias("x"), F.col("u").alias("u2"))
     )
-    common = F.col("n_v") - F.col("missing") - F.col("missing2") + F.col("met")
+    met = rated.where("held > 1 AND NOT linked").select("v", "x", "u").join(rarest, ["v", "x"]).where("u <> u2")
+    pairs = met.select("v", F.least("u", "u2").alias("u"), F.greatest("u", "u2").alias("u2")).distinct()
+    sides = rows.select("v", "u", "n_u", "n_v", "a", "diff")
+    other = rows.select("v", *[F.col(c).alias(f"{c}2") for c in ("u", "n_u", "a", "diff")])
+    both = pairs.join(sides, ["v", "u"]).join(other, ["v", "u2"])
+    common = F.col("n_v") - F.col("a") - F.col("a2") + F.size(F.array_intersect("diff", "diff2"))
     union = F.col("n_u") + F.col("n_u2") - common
-    return met.where(like.under * common >= like.over * union).select(F.col("u").alias("a"), F.col("u2").alias("b"))
+    return both.where(under * common >= over * union).select(F.col("u").alias("a"), F.col("u2").alias("b"))
 
 
 def links(
