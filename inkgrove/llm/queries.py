@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.llm import line_dedup, near_dup, packing, secrets, token_counts
+from inkgrove.llm import fingerprints, line_dedup, near_dup, packing, secrets, token_counts
 from inkgrove.llm.common import bound_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, with their places in sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
