@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.llm import fingerprints, line_dedup, near_dup, packing, secrets, token_counts
+from inkgrove.llm import (
+    decontamination,
+    fingerprints,
+    line_dedup,
+    near_dup,
+    packing,
+    secrets,
+    token_counts,
+    toxicity,
+)
 from inkgrove.llm.common import bound_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +85,20 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k fingerprints of every document and of its edited text."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of the label toxic for every document, and whether it was held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+    sentences = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s.start, s.end)), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", sentences.alias("offending"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the evidence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.matches(docs, table(spark, sf_dir, "benchmark"))
