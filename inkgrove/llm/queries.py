@@ -13,6 +13,8 @@ from inkgrove.llm import (
     line_dedup,
     near_dup,
     packing,
+    page_text,
+    quotations,
     secrets,
     token_counts,
     toxicity,
@@ -102,3 +104,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     """Every document that holds a benchmark item, with the item and the evidence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.main_text(pages, page_text.train(pages))
+
+
+@query
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message that quotes the turns before it, linked and without its quotes."""
+    linked = quotations.link_quotes(quotations.quoting(table(spark, sf_dir, "conversations")))
+    low = F.lit((1 << 20) - 1)
+    return linked.select(
+        F.col("scope").cast("long").alias("conv_id"),
+        F.col("msg_id").bitwiseAND(low).alias("turn"),
+        F.col("reply_to").bitwiseAND(low).alias("reply_to"),
+        F.col("root").bitwiseAND(low).alias("root"),
+        "depth",
+        "position",
+        "n_quoted",
+        "n_linked",
+        F.length("body").cast("long").alias("n_chars"),
+        F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"),
+    )
