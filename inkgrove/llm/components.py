@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from inkgrove.llm.common import stored
 
 
-def _is_star(edges: DataFrame) -> bool:
+EDGES_PER_TASK = 200_000
+
+
+def _is_star(edges: DataFrame, tasks: int) -> bool:
     """Whether every left node has one edge, to a node that is never on the left."""
     right = edges.select(F.col("b").alias("a"), F.lit(2).alias("n")).distinct()
     sides = edges.select("a", F.lit(1).alias("n")).union(right)
     # A left node counts 1 per edge; a node on both sides counts 2 more.
-    both = sides.groupBy("a").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    both = sides.groupBy("a").agg(F.sum("n").alias("n"), F.min("n").alias("least")).coalesce(tasks)
     return both.where("least = 1 AND n > 1").limit(1).count() == 0
 
 
@@ -31,11 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stored(edges, "edges")
-    while not _is_star(edges):
+    # Contraction never adds edges, so that a task for so many suffices throughout.
+    tasks = max(8, edges.count() // EDGES_PER_TASK)
+    while not _is_star(edges, tasks):
         # Large star: a node's larger neighbours move to its smallest neighbour.
         both = edges.union(edges.select("b", "a"))
         large = both.where("b > a").join(_least(both), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b").coalesce(tasks).distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
         least = _least(large)
         small = (
@@ -43,6 +48,6 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("b").alias("a"), F.col("least").alias("b"))
             .union(least.select("a", F.col("least").alias("b")))
         )
-        edges = stored(small.where("a <> b").distinct(), "edges")
+        edges = stored(small.where("a <> b").coalesce(tasks).distinct().coalesce(tasks), "edges")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

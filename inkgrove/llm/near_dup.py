@@ -59,6 +59,8 @@ MANTISSA_BITS = 10
 ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 512
+# Python tasks are sized by the number of classes; smaller tasks only start more workers.
+CLASSES_PER_TASK = 4000
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,7 @@ def _members(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(bands).ravel()), pa.array(node)], ["key", "node"])
 
 
-def _near(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, cut: float, tasks: int) -> DataFrame:
     """Add ``near`` to pairs (u, v): whether the estimated similarity reaches ``cut``."""
     sides = [classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"b_{s}")) for s in "uv"]
 
@@ -195,10 +197,10 @@ def _near(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
         near = estimate(_matrix(batch.column("b_u")), _matrix(batch.column("b_v")), *size) >= cut
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near)], ["u", "v", "near"])
 
-    return map_batches(pairs.join(sides[0], "u").join(sides[1], "v"), run, "u long, v long, near boolean")
+    return map_batches(pairs.join(sides[0], "u").join(sides[1], "v").coalesce(tasks), run, "u long, v long, near boolean")
 
 
-def _blocks(members: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
+def _blocks(members: DataFrame, classes: DataFrame, cut: float, tasks: int) -> DataFrame:
     """Near pairs (u, v) with a far member, among (key, node, far, size) of whole buckets.
 
     A bucket is dealt into blocks of about ``BLOCK`` members; each pair of blocks is one
@@ -249,13 +251,14 @@ def _blocks(members: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
             u, v = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*found) if found else [(), ()]))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+    sorted_ = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").coalesce(tasks)
+    return sorted_.mapInArrow(run, "u long, v long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity, tasks: int) -> DataFrame:
     """Compare pairs (u, v, star) on full sets: adds n_u, n_v, missing, linked and diff.
 
-    ``missing`` counts the elements of v that u lacks; ``diff`` holds these and the
+    ``missing`` counts the elements of v that u lacks; ``diff`` holds these, then the
     elements that only u has, for pairs of a star.
     """
     words, over, under = like.words, like.over, like.under
@@ -281,7 +284,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
                 continue
             common = len(np.intersect1d(a, b, assume_unique=True))
             linked = under * common >= over * (len(a) + len(b) - common)
-            diffs.append(signed(np.setxor1d(a, b, assume_unique=True)) if star else np.empty(0, np.int64))
+            sides = (np.setdiff1d(b, a, assume_unique=True), np.setdiff1d(a, b, assume_unique=True)) if star else ()
+            diffs.append(signed(np.concatenate([np.empty(0, np.uint64), *sides])))
             out.append((u, v, star, len(a), len(b), len(b) - common, linked))
         fields = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.bool_()]
         arrays = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, fields)]
@@ -292,7 +296,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     sides = [
         texts.select(F.col("node").alias(s), F.col("text").alias(f"t_{s}"), F.col("hi").alias(f"h_{s}")) for s in "uv"
     ]
-    return map_batches(pairs.join(sides[0], "u").join(sides[1], "v"), run, schema)
+    return map_batches(pairs.join(sides[0], "u").join(sides[1], "v").coalesce(tasks), run, schema)
 
 
 def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
@@ -305,28 +309,39 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
 
     elements.  Without member 2's terms this is positive exactly if member 1 isn't linked to
     the centre.  So each member must find one of its rarest elements, as many as it has beyond
-    the least number it must share, in the other's difference.
+    the least number it must share, in the other's difference; and both must have enough
+    elements, missing and new, that some other member has too.
     """
     over, under = like.over, like.under
     own = under * F.col("a") + over * F.col("b")
     rows = stars.select("v", "u", "n_u", "n_v", "linked", "diff", F.col("missing").alias("a"))
-    rows = rows.withColumn("b", F.size("diff") - F.col("a"))
-    excess = own - F.col("n_v") * (under - over)
-    loose = rows.where("NOT linked").groupBy("v").agg(F.min(excess).alias("excess"))
-    rows = rows.join(loose, "v").withColumn("least", F.ceil((F.col("excess") + own) / (over + under)))
+    rows = rows.withColumn("b", F.size("diff") - F.col("a")).withColumn("own", own)
+    rows = rows.withColumn("base", F.col("n_v") * (under - over))
+    loose = rows.where("NOT linked").groupBy("v").agg(F.min(F.col("own") - F.col("base")).alias("excess"))
+    rows = rows.join(loose, "v").withColumn("least", F.ceil((F.col("excess") + F.col("own")) / (over + under)))
 
-    single = rows.select("v", "u", "linked", "least", F.explode("diff").alias("x"))
+    single = rows.select("v", "u", "linked", "least", "own", "base", "a", F.posexplode("diff").alias("i", "x"))
     spread = single.groupBy("v", "x").agg(F.count("*").alias("held"))
     rated = single.join(spread, ["v", "x"])
-    rarest = (
-        rated.groupBy("v", "u", "least")
-        .agg(F.sort_array(F.collect_list(F.struct("held", "x"))).alias("xs"))
-        .withColumn("n", F.greatest(F.lit(0), F.size("xs") - F.col("least") + 1).cast("int"))
-        .select("v", "u", F.explode(F.slice("xs", F.lit(1), F.col("n"))).alias("e"))
-        .where("e.held > 1")
-        .select("v", F.col("e.x").alias("x"), F.col("u").alias("u2"))
+    both_have = F.col("held") > 1
+    listed = rated.groupBy("v", "u", "linked", "least", "own", "base").agg(
+        F.sort_array(F.collect_list(F.struct("held", "x"))).alias("xs"),
+        F.count_if(both_have & (F.col("i") < F.col("a"))).alias("sa"),
+        F.count_if(both_have & (F.col("i") >= F.col("a"))).alias("sb"),
     )
-    met = rated.where("held > 1 AND NOT linked").select("v", "x", "u").join(rarest, ["v", "x"]).where("u <> u2")
+    listed = listed.where(F.col("sa") + F.col("sb") >= F.col("least"))
+    shared = F.filter("xs", lambda e: e.held > 1)
+    n = F.greatest(F.lit(0), F.size("xs") - F.col("least") + 1).cast("int")
+    rarest = F.filter(F.slice("xs", F.lit(1), n), lambda e: e.held > 1)
+    left = listed.where("NOT linked").select("v", "u", "own", "base", "sa", "sb", F.explode(shared).alias("e"))
+    right = listed.select(
+        "v", *[F.col(c).alias(f"{c}2") for c in ("u", "own", "sa", "sb")], F.explode(rarest).alias("e")
+    )
+    most = F.least("sa", "sa2") + F.least("sb", "sb2")
+    enough = F.col("own") + F.col("own2") - F.col("base") <= (over + under) * most
+    right = right.withColumnsRenamed({"v": "v2", "e": "e2"})
+    same = (F.col("v") == F.col("v2")) & (F.col("e.x") == F.col("e2.x")) & (F.col("u") != F.col("u2"))
+    met = left.join(right, same & enough)
     pairs = met.select("v", F.least("u", "u2").alias("u"), F.greatest("u", "u2").alias("u2")).distinct()
     sides = rows.select("v", "u", "n_u", "n_v", "a", "diff")
     other = rows.select("v", *[F.col(c).alias(f"{c}2") for c in ("u", "n_u", "a", "diff")])
@@ -340,9 +355,9 @@ def links(
     classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str, kept: Kept
 ) -> DataFrame:
     """Linked pairs (a, b) of classes (node, n, hi, bands); a node is the class' smallest id."""
-    members = map_batches(
-        classes.where(F.col("n") >= like.least_size).select("node", "bands"), _members, "key long, node long"
-    )
+    tasks = max(16, classes.count() // CLASSES_PER_TASK)
+    large = classes.where(F.col("n") >= like.least_size).select("node", "bands").coalesce(tasks)
+    members = map_batches(large, _members, "key long, node long")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = kept(members.join(sizes, "key"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -351,13 +366,13 @@ def links(
     around = members.join(centres, "key").where("node <> v")
 
     pairs = around.select(F.col("node").alias("u"), "v").distinct()
-    rated = stored(_near(pairs, classes, like.cut), "rated")
+    rated = stored(_near(pairs, classes, like.cut, tasks), "rated")
     apart = rated.where("NOT near").select("u", F.col("v").alias("centre"))
     far = around.join(apart, (F.col("node") == F.col("u")) & (F.col("v") == F.col("centre")), "left_semi")
     far = far.select("key", "node", F.lit(True).alias("far"))
     mixed = members.join(far.select("key").distinct(), "key", "left_semi")
     mixed = mixed.join(far, ["key", "node"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
-    extra = _blocks(mixed, classes, like.cut).distinct()
+    extra = _blocks(mixed, classes, like.cut, tasks).distinct()
 
     stars = rated.where("near").select("u", "v", F.lit(True).alias("star"))
     wanted = stored(stars.union(extra.withColumn("star", F.lit(False))), "wanted")
@@ -366,7 +381,7 @@ def links(
     known = classes.join(nodes, "node", "left_semi").select("node", "hi")
     texts = docs.select(F.col(id_column).alias("node"), text_bytes(column).alias("text"))
     texts = texts.join(known.hint("shuffle_hash"), "node").select("node", "hi", "text")
-    compared = stored(_confirm(wanted, texts, like), "compared")
+    compared = stored(_confirm(wanted, texts, like, tasks), "compared")
     straight = compared.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
     return straight.union(_beside_centre(compared.where("star"), like))
 
