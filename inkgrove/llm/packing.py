@@ -17,6 +17,7 @@ bounded by the capacity alone.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,11 @@ from inkgrove.plans.ordered import rank_rows
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_SIZE = 250_000
+CACHE_SIZE = 500_000
+
+# Byte-level vocabularies write a byte that prints as itself, the others, in order, from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_MARKS = dict(zip((b for b in range(256) if b not in _PRINTS), range(256, 512)))
 
 _ENCODERS: dict[str, "ChunkIds"] = {}
 
@@ -67,15 +72,16 @@ class ChunkIds(dict):
         return ids
 
     def _ids(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            # Punctuation after a word is a token of its own; case is dropped.
-            if len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
-                return self[chunk[:-1]] + self[chunk[-1]]
-            if chunk.isalpha():
-                low = chunk.lower()
-                if low != chunk:
-                    return self[low]
-                tokens = self.tokenizer.model.tokenize(low)
+        # Punctuation after a word is a token of its own; case is dropped.
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        if chunk.isalpha():
+            # A word is one pre-token: composed, in lower case letter by letter, as byte marks.
+            word = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+            if word.isalpha():
+                if word != chunk:
+                    return self[word]
+                tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_MARKS))
                 return np.fromiter((t.id for t in tokens), "<u4", len(tokens)).tobytes()
         return self.encode(chunk)
 
