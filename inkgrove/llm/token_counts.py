@@ -152,7 +152,7 @@ def frequent_pretokens(docs: DataFrame, tokenizer: str, column: str = "text", si
             .mapInArrow(fold, SUMMARY)
         )
     total: Counter = Counter()
-    for row in summaries.toLocalIterator():
+    for row in summaries.collect():  # at most FAN_IN rows of ``size`` entries
         total.update(dict(zip(row.tokens, row.counts)))
     return [t for t, _ in _trim(total, size)]
 
