@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm.common import map_batches, text_or_empty, values
 
-SAMPLE = 8000
+SAMPLE = 6000
 VOCABULARY = 4000
 LEAST_DOCS = 4
 STEPS = 300
@@ -116,20 +117,16 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Model:
     labels = np.array([label for _, label in rows], float)
     if not len(labels) or labels.min() == labels.max():
         return Model({}, -20.0)
-    bags = [
-        [[f for w in sorted(set(WORD.findall(s))) for f in features(w)] for s in SENTENCE.findall(lower(text))]
-        for text, _ in rows
-    ]
-    vocabulary = _vocabulary(bags, labels)
+    vocabulary = _vocabulary(rows, labels)
     number = {w: i for i, w in enumerate(vocabulary)}
-    entries, sentences, documents = [], [], []
+    entries, sentences, documents = array("q"), array("q"), array("q")
     at = 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            known = [number[w] for w in words if w in number]
+    for d, (text, _) in enumerate(rows):
+        for sentence in SENTENCE.findall(lower(text)):
+            known = [number[f] for w in sorted(set(WORD.findall(sentence))) for f in features(w) if f in number]
             if known:
-                entries += known
-                sentences += [at] * len(known)
+                entries.extend(known)
+                sentences.extend([at] * len(known))
                 documents.append(d)
                 at += 1
     entries, sentences, documents = (np.array(x, np.int64) for x in (entries, sentences, documents))
@@ -153,12 +150,12 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Model:
     return Model(kept, float(bias))
 
 
-def _vocabulary(bags: list[list[list[str]]], labels: np.ndarray) -> list[str]:
+def _vocabulary(rows: list[tuple[str, int]], labels: np.ndarray) -> list[str]:
     """The features whose documents' labels differ most from all, by a chi-square of counts."""
     total: dict[str, int] = {}
     toxic: dict[str, int] = {}
-    for bag, label in zip(bags, labels):
-        for word in set().union(*bag) if bag else ():
+    for text, label in rows:
+        for word in {f for w in set(WORD.findall(lower(text))) for f in features(w)}:
             total[word] = total.get(word, 0) + 1
             if label:
                 toxic[word] = toxic.get(word, 0) + 1
