@@ -330,14 +330,13 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
         F.count_if(both_have & (F.col("i") >= F.col("a"))).alias("sb"),
     )
     listed = listed.where(F.col("sa") + F.col("sb") >= F.col("least"))
-    shared = F.filter("xs", lambda e: e.held > 1)
-    n = F.greatest(F.lit(0), F.size("xs") - F.col("least") + 1).cast("int")
-    rarest = F.filter(F.slice("xs", F.lit(1), n), lambda e: e.held > 1)
-    left = listed.where("NOT linked").select("v", "u", "own", "base", "sa", "sb", F.explode(shared).alias("e"))
-    right = listed.select(
-        "v", *[F.col(c).alias(f"{c}2") for c in ("u", "own", "sa", "sb")], F.explode(rarest).alias("e")
-    )
-    most = F.least("sa", "sa2") + F.least("sb", "sb2")
+    # Elements in one order for the whole star: after a first common one, at most the rest can follow.
+    listed = listed.select("*", F.posexplode("xs").alias("i", "e")).where("e.held > 1")
+    listed = listed.withColumn("rest", F.size("xs") - F.col("i"))
+    left = listed.where("NOT linked").select("v", "u", "own", "base", "sa", "sb", "rest", "e")
+    rarest = listed.where("rest >= least")
+    right = rarest.select("v", "e", *[F.col(c).alias(f"{c}2") for c in ("u", "own", "sa", "sb", "rest")])
+    most = F.least(F.least("sa", "sa2") + F.least("sb", "sb2"), "rest", "rest2")
     enough = F.col("own") + F.col("own2") - F.col("base") <= (over + under) * most
     right = right.withColumnsRenamed({"v": "v2", "e": "e2"})
     same = (F.col("v") == F.col("v2")) & (F.col("e.x") == F.col("e2.x")) & (F.col("u") != F.col("u2"))
