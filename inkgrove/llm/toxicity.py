@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm.common import map_batches, text_or_empty, values
 
-SAMPLE = 6000
+SAMPLE = 3000
 VOCABULARY = 4000
 LEAST_DOCS = 4
 STEPS = 300
