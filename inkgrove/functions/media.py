@@ -58,7 +58,7 @@ def checksum(mime: Column, payload: Column) -> Column:
 
 def image_id(note_id: Column, digest: Column) -> Column:
     """Deterministic id, so that a retried task writes the same row."""
-    return F.left(F.sha2(F.concat(note_id, digest), 256), F.lit(16))
+    return F.sha2(F.concat(note_id, digest), 256)
 
 
 def image_tokens(text: Column) -> Column:

@@ -27,7 +27,13 @@ def stamp(now: dt.datetime) -> Column:
 
 
 def _join_changes(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """Table rows with ``new_*`` columns and ``hit`` for changed keys."""
+    """Table rows with ``new_*`` columns and ``hit`` for changed keys.
+
+    Of several changes for a key the last in the order of their columns counts.
+    """
+    fields = [c for c in changes.columns if c != "id"]
+    last = changes.groupBy("id").agg(F.max(F.struct(*fields)).alias("__last")) if fields else changes.distinct()
+    changes = last.select("id", "__last.*") if fields else last
     renamed = changes.select(
         *[F.col(c).alias("__id" if c == "id" else f"new_{c}") for c in changes.columns], F.lit(True).alias("hit")
     )
@@ -64,8 +70,12 @@ def new_notes(drafts: DataFrame, folders: DataFrame, now: dt.datetime) -> DataFr
 
 
 def insert_notes(notes: DataFrame, rows: DataFrame) -> DataFrame:
-    """M1: the snapshot with new rows; an id that is taken keeps its old row."""
-    fresh = rows.dropDuplicates(["id"]).join(notes.select("id"), "id", "left_anti")
+    """M1: the snapshot with new rows; an id that is taken keeps its old row.
+
+    Of several new rows of an id the first in the order of their columns is taken.
+    """
+    first = rows.groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("__first"))
+    fresh = first.select("id", "__first.*").join(notes.select("id"), "id", "left_anti")
     return notes.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)
 
 

@@ -15,7 +15,6 @@ from inkgrove.functions.patterns import HTML_MEDIA, HTML_TAG
 from inkgrove.functions.splice import drop_all
 from inkgrove.functions.tags import has_tag
 from inkgrove.functions.text import DEFAULT_TITLES, blank, display_timestamp, list_preview, py_strip
-from inkgrove.plans.sizing import broadcast_if_small
 
 SORT_FIELDS = ("updated_at", "created_at", "title", "content")
 
@@ -59,7 +58,7 @@ def notes_in_folders(
     if not include_deleted:
         notes = notes.where(is_active())
     if isinstance(folder_ids, DataFrame):
-        ids = broadcast_if_small(folder_ids.select(F.col(folder_ids.columns[0]).alias("folder_id")).distinct())
+        ids = folder_ids.select(F.col(folder_ids.columns[0]).alias("folder_id")).distinct()
         return notes.join(ids, "folder_id", "left_semi").select(*notes.columns)
     if not folder_ids:
         return notes.limit(0)

@@ -9,7 +9,7 @@ from inkgrove.operators import images as I
 from inkgrove.registry.base import query
 from inkgrove.registry.datasets import NOW
 
-_ID = "left(sha256(id || checksum), 16)"
+_ID = "sha256(id || checksum)"
 
 
 @query(

@@ -16,7 +16,7 @@ def url(data, mime="image/png"):
 
 def token(note, data, mime="image/png"):
     digest = hashlib.sha256(f"{mime}:{data}".encode()).hexdigest()
-    return "note-image://" + hashlib.sha256((note + digest).encode()).hexdigest()[:16]
+    return "note-image://" + hashlib.sha256((note + digest).encode()).hexdigest()
 
 
 def test_tokenize_and_hydrate_round_trip(spark):

@@ -9,7 +9,6 @@ import __spark_entry__  # noqa: F401  (registers the queries)
 from inkgrove.operators import folders as T
 from inkgrove.operators import notes as N
 from inkgrove.operators import stats, tag_tree
-from inkgrove.plans.sizing import broadcast_if_small
 from inkgrove.registry.base import QUERIES
 from inkgrove.registry.datasets import data
 
@@ -50,12 +49,6 @@ def test_no_query_uses_a_cross_join(spark):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, SF)), name
 
 
-def test_only_small_sides_are_broadcast(spark):
-    big = spark.range(1000)
-    assert "Broadcast" not in str(broadcast_if_small(big, 10)._jdf.queryExecution().logical())
-    assert "broadcast" in str(broadcast_if_small(big, 2000)._jdf.queryExecution().logical()).lower()
-
-
 def test_store_needs_a_shared_folder_on_a_cluster(monkeypatch, spark):
     from inkgrove.plans import lineage
 
