@@ -121,13 +121,16 @@ def link_quotes(
     # Pointer doubling: after k rounds every message points 2^k replies up, or to its root.
     ups = known.select("id").distinct().join(parents.select("id", "reply_to"), "id", "left")
     ups = ups.select("id", F.coalesce("reply_to", "id").alias("up"), F.col("reply_to").isNotNull().cast("long").alias("depth"))
-    while True:
-        ups = stored(ups, "replies")
-        above = ups.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        joined = ups.join(above, "up")
-        if not joined.where("further <> up").limit(1).count():
-            break
-        ups = joined.select("id", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+    ups = stored(ups, "replies")
+    finished, pending = ups.where("id = up"), ups.where("id <> up")
+    while pending.limit(1).count():
+        # Messages that have reached their root take no further part.
+        reached = finished.union(pending)
+        above = reached.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        joined = stored(pending.join(above, "up"), "replies")
+        finished = finished.union(joined.where("further = up").select("id", "up", "depth"))
+        pending = joined.where("further <> up").select("id", F.col("further").alias("up"), F.expr("depth + more AS depth"))
+    ups = finished
 
     placed = known.select("id", "sent").join(ups.withColumnRenamed("up", "root"), "id")
     placed = rank_rows(placed, [F.col("root")], [F.col("depth"), F.col("sent"), F.col("id")], "position")
