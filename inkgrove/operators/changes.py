@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkgrove.functions.tags import clean_tags
 from inkgrove.functions.text import py_strip
 from inkgrove.operators.folders import can_have_child, descendants
-from inkgrove.operators.images import embedded_images, tokenize_notes
+from inkgrove.operators.images import collect_garbage, embedded_images, rename_tokens, tokenize_notes, upsert_images
 from inkgrove.operators.notes import effectively_empty, is_active
 from inkgrove.operators.stats import deletable_libraries
 from inkgrove.plans.ordered import rank_rows
@@ -69,14 +69,18 @@ def new_notes(drafts: DataFrame, folders: DataFrame, now: dt.datetime) -> DataFr
     return conform(rows, NOTES)
 
 
-def insert_notes(notes: DataFrame, rows: DataFrame) -> DataFrame:
-    """M1: the snapshot with new rows; an id that is taken keeps its old row.
+def accepted_notes(notes: DataFrame, rows: DataFrame) -> DataFrame:
+    """M1: the new rows that can be inserted, one per id that is not taken.
 
     Of several new rows of an id the first in the order of their columns is taken.
     """
     first = rows.groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("__first"))
-    fresh = first.select("id", "__first.*").join(notes.select("id"), "id", "left_anti")
-    return notes.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)
+    return first.select("id", "__first.*").join(notes.select("id"), "id", "left_anti").select(*rows.columns)
+
+
+def insert_notes(notes: DataFrame, rows: DataFrame) -> DataFrame:
+    """M1: the snapshot with new rows; an id that is taken keeps its old row."""
+    return notes.unionByName(accepted_notes(notes, rows), allowMissingColumns=True)
 
 
 def rejected_notes(notes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -90,8 +94,8 @@ def create_notes(
     notes: DataFrame, drafts: DataFrame, folders: DataFrame, now: dt.datetime
 ) -> tuple[DataFrame, DataFrame]:
     """M1 with I1: the new snapshot, and the image rows of the new notes."""
-    rows = new_notes(drafts, folders, now)
-    return insert_notes(notes, tokenize_notes(rows)), embedded_images(rows, now)
+    rows = accepted_notes(notes, new_notes(drafts, folders, now))
+    return notes.unionByName(tokenize_notes(rows), allowMissingColumns=True), embedded_images(rows, now)
 
 
 def ensure_folder(folders: DataFrame, now: dt.datetime) -> DataFrame:
@@ -131,6 +135,31 @@ def update_notes(notes: DataFrame, changes: DataFrame, now: dt.datetime) -> Data
     return _rewrite(joined, notes.columns, new)
 
 
+def merge_saves(
+    notes: DataFrame, images: DataFrame, changes: DataFrame, new_images: DataFrame, now: dt.datetime
+) -> tuple[DataFrame, DataFrame]:
+    """M2 with I4 and M14: tokenized changes and the images they came with, in a snapshot.
+
+    An image that is stored already keeps its id, and the tokens follow.  Images of changes
+    to missing or deleted notes are left out; of a saved note, images that it no longer
+    mentions go.
+    """
+    live = notes.where(is_active()).select("id").join(changes.select("id"), "id", "left_semi")
+    fresh = new_images.join(live.withColumnRenamed("id", "note_id"), "note_id", "left_semi")
+    saved = update_notes(notes, rename_tokens(changes, images), now)
+    return saved, collect_garbage(upsert_images(images, fresh), saved.join(live, "id", "left_semi"))
+
+
+def save_notes(
+    notes: DataFrame, images: DataFrame, changes: DataFrame, now: dt.datetime
+) -> tuple[DataFrame, DataFrame]:
+    """M2 with I1, I4 and M14: notes and images after edits whose texts hold data URLs.
+
+    ``changes`` has id, content, content_json and any other field of ``update_notes``.
+    """
+    return merge_saves(notes, images, tokenize_notes(changes), embedded_images(changes, now), now)
+
+
 def move_notes(notes: DataFrame, moves: DataFrame, now: dt.datetime) -> DataFrame:
     """M7: (id, folder_id)."""
     return update_notes(notes, moves.select("id", "folder_id"), now)

@@ -133,6 +133,32 @@ def upsert_images(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(fresh.select(*stored.columns))
 
 
+def rename_tokens(notes: DataFrame, images: DataFrame) -> DataFrame:
+    """I1 with M14: tokens of images that are stored under another id, renamed to it.
+
+    ``tokenize_notes`` computes ids; an image stored before keeps the one it has.  Texts of
+    notes without such an image stay as they are.
+    """
+    computed = image_id(F.col("note_id"), F.col("checksum"))
+    other = images.where(F.col("id") != computed).groupBy("note_id", computed.alias("image_id"))
+    wanted = referenced_images(notes).distinct()
+    names = (
+        wanted.join(other.agg(F.min("id").alias("kept")), ["note_id", "image_id"])
+        .groupBy(F.col("note_id").alias("__note"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("image_id", "kept"))).alias("__names"))
+    )
+    joined = notes.join(names, F.col("id") == F.col("__note"), "left")
+
+    def rename(text: Column) -> Column:
+        tokens = F.transform(
+            matches(text, IMAGE_TOKEN, 1), lambda i: F.concat(F.lit(TOKEN_PREFIX), F.coalesce(F.col("__names")[i], i))
+        )
+        return F.when(F.col("__names").isNotNull(), put_back(text, IMAGE_TOKEN, tokens)).otherwise(text)
+
+    renamed = {c: rename(F.col(c)) for c in ("content", "content_json")}
+    return joined.withColumns(renamed).select(*notes.columns)
+
+
 # -- numbered files ----------------------------------------------------------
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkgrove.functions.media import base64_line
+from inkgrove.operators.images import hydrate
 from inkgrove.plans.lineage import scratch_path
 from inkgrove.registry.base import iso, iso_sql, query
 from inkgrove.registry.datasets import NOW
+from inkgrove.schemas import NOTE_IMAGES
 from inkgrove.streaming import edits as E
 
 HOUR_MS = 3_600_000
@@ -87,30 +90,57 @@ def _(d):
 
 @query(
     "stream_apply_t6",
-    "edits notes",
+    "edits notes_img",
     f"""{_SESSIONS}, closed AS (SELECT 'd' || substr(note_id, 2) AS id, arg_max(content, version) AS content,
              arg_max(title, version) FILTER (title IS NOT NULL) AS title FROM saves
-             WHERE last_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM edits) - INTERVAL 10 HOUR GROUP BY note_id)
-        SELECT n.id, CASE WHEN n.deleted_at IS NULL THEN coalesce(c.title, n.title) ELSE n.title END AS title,
-               CASE WHEN n.deleted_at IS NULL THEN coalesce(c.content, n.content) ELSE n.content END AS content,
-               CASE WHEN n.deleted_at IS NULL AND c.id IS NOT NULL THEN '2025-01-01 00:00:00.000000'
-                    ELSE {iso_sql("n.updated_at")} END AS updated
-        FROM notes n LEFT JOIN closed c ON c.id = n.id""",
+             WHERE last_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM edits) - INTERVAL 10 HOUR GROUP BY note_id),
+        merged AS (SELECT n.*, c.title AS new_title, c.content AS new, to_base64(encode(c.content)) AS image,
+                          n.deleted_at IS NULL AND c.id IS NOT NULL AS hit
+                   FROM notes_img n LEFT JOIN closed c ON c.id = n.id)
+        SELECT id, CASE WHEN hit THEN coalesce(new_title, title) ELSE title END AS title,
+               CASE WHEN hit THEN new || chr(10) || '![i](data:image/png;base64,' || image || ')' ELSE plain END AS content,
+               CASE WHEN hit THEN '2025-01-01 00:00:00.000000' ELSE {iso_sql("updated_at")} END AS updated,
+               CASE WHEN hit THEN sha256('image/png:' || image) ELSE checksum END AS image
+        FROM merged""",
 )
 def _(d):
-    """Saves of the stream go to a change log, which is applied to the notes."""
+    """Saves of the stream, each with an image, go to a change log, which is applied to
+    the notes and their images; a saved note loses the image it had."""
     out = scratch_path(d.spark, "log")
-    as_notes = d.edit_stream().withColumn("note_id", F.concat(F.lit("d"), F.substring("note_id", 2, 20)))
+    link = F.concat(F.lit("\n![i](data:image/png;base64,"), base64_line(F.col("content").cast("binary")), F.lit(")"))
+    as_notes = d.edit_stream().withColumns(
+        {"note_id": F.concat(F.lit("d"), F.substr("note_id", F.lit(2))), "content": F.concat("content", link)}
+    )
     saves = E.stream_saves(as_notes, "1 hour", "10 hours")
     _run(E.log_saves(saves, out, NOW), f"{out}/checkpoint")
     log = d.spark.read.schema("id string, version bigint, title string, content string, content_json string")
-    after = E.apply_log(d.notes(), log.parquet(f"{out}/saves"), NOW)
-    return after.select("id", "title", "content", iso("updated_at").alias("updated"))
+    pictures = d.spark.read.schema(NOTE_IMAGES).parquet(f"{out}/images")
+    notes, images = E.apply_log(d.notes(), d.images(), log.parquet(f"{out}/saves"), pictures, NOW)
+    held = images.select(F.col("note_id").alias("id"), F.col("checksum").alias("image"))
+    shown = hydrate(notes, images).select("id", "title", "content", iso("updated_at").alias("updated"))
+    return shown.join(held, "id", "left")
 
 
-@query("save_gate_t3_t4")
+@query(
+    "save_gate_t3_t4",
+    "edits",
+    """, marked AS (SELECT *, version % 100 = 99 AS flush FROM edits),
+    flagged AS (SELECT *, CASE WHEN NOT lag(flush) OVER w AND ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS starts
+                FROM marked WINDOW w AS (PARTITION BY note_id ORDER BY ts, version)),
+    parted AS (SELECT *, sum(starts) OVER (PARTITION BY note_id ORDER BY ts, version) AS part FROM flagged),
+    parts AS (SELECT note_id, part, max(version) FILTER (NOT flush) AS newest, bool_or(flush) AS flushed,
+                     max(ts) FILTER (NOT flush) AS last_ts FROM parted GROUP BY note_id, part),
+    known AS (SELECT *, coalesce(max(newest) OVER (PARTITION BY note_id ORDER BY part
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS saved,
+                     flushed OR lead(part) OVER (PARTITION BY note_id ORDER BY part) IS NOT NULL
+                         OR last_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM edits) - INTERVAL 10 HOUR AS ended FROM parts)
+    SELECT p.note_id, max(p.version) AS version, coalesce(arg_max(title, p.version) FILTER (title IS NOT NULL), '') AS title,
+           coalesce(arg_max(content, p.version), '') AS content
+    FROM parted p JOIN known k ON k.note_id = p.note_id AND k.part = p.part
+    WHERE NOT flush AND p.version > saved AND ended GROUP BY p.note_id, p.part""",
+)
 def _(d):
-    """Saves in version order; every hundredth event flushes its note."""
+    """A pause or every hundredth event ends a save; stale versions are dropped."""
     flush = F.when(F.col("version") % 100 == 99, "flush").otherwise(F.col("kind"))
     out = scratch_path(d.spark, "gate")
     saves = E.gate_saves(d.edit_stream().withColumn("kind", flush), HOUR_MS, "10 hours")
@@ -121,4 +151,4 @@ def _(d):
         _run(saves.writeStream.format("parquet").option("path", f"{out}/saves"), f"{out}/checkpoint")
     finally:
         d.spark.conf.set(setting, before)
-    return d.spark.read.schema(E.SAVE_SCHEMA).parquet(f"{out}/saves")
+    return _strings(d.spark.read.schema(E.SAVE_SCHEMA).parquet(f"{out}/saves").drop("content_json"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.functions.media import image_tokens
 from inkgrove.operators import images as I
+from inkgrove.operators.changes import save_notes
 from inkgrove.registry.base import query
 from inkgrove.registry.datasets import NOW
 
@@ -107,6 +108,25 @@ def _(d):
     return merged.select("note_id", "checksum", "id")
 
 
+@query(
+    "save_images_i1_m14",
+    "notes_img",
+    f"""SELECT id, CASE WHEN deleted_at IS NULL THEN content ELSE plain END AS content,
+               CASE WHEN library_id = 'de' THEN 'old-' || id WHEN deleted_at IS NULL THEN {_ID} ELSE '' END AS image
+        FROM notes_img""",
+)
+def _(d):
+    """Every note is saved with an image; those of one library are stored already, under other ids."""
+    images = d.images()
+    german = d.notes("de").select(F.col("id").alias("note_id"))
+    stored = images.join(german, "note_id", "left_semi").withColumn("id", F.concat(F.lit("old-"), "note_id"))
+    changes = d.notes_img().select("id", "content", "content_json")
+    notes, kept = save_notes(d.notes(), stored.select(*images.columns), changes, NOW)
+    held = kept.select(F.col("note_id").alias("id"), F.col("id").alias("image"))
+    shown = I.hydrate(notes, kept).select("id", "content").join(held, "id", "left")
+    return shown.select("id", "content", F.coalesce("image", F.lit("")).alias("image"))
+
+
 @query(
     "numbered_images_i6_w3",
     "notes_img",

@@ -11,11 +11,12 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from inkgrove.operators.changes import update_notes
+from inkgrove.operators.changes import merge_saves
 from inkgrove.operators.images import embedded_images, tokenize_notes
 
 # --- fixed values: the editor's pause before it saves, and its second timer
@@ -155,12 +156,14 @@ _PENDING = "version bigint, edited bigint, " + ", ".join(f"{f} string, {f}_versi
 
 
 class SaveGate(StatefulProcessor):
-    """Saves in version order, at once on a flush.
-
-    State per note: the last saved version and the pending fields.  Edits not
-    newer than what was saved are stale and dropped.  A timer stands for the
-    editor's pause; a ``flush`` event saves without waiting for it.  Rows are
-    folded one Arrow batch at a time, so a hot note needs no more memory.
+    """Saves in version order.
+
+    A note's edits are taken by (time, version).  A pause longer than the gap, or a
+    ``flush``, ends a save; a flush carries no edit and comes after the edits of its time.
+    Edits not newer than the saves before are stale: they hold a save open, but change
+    nothing.  State per note: the last saved version and the open save.  A timer stands for
+    the pause when nothing follows.  A worker holds the rows of one note in one micro-batch,
+    which the source's rate limits bound (``maxFilesPerTrigger`` and the like).
     """
 
     def __init__(self, gap_ms: int):
@@ -171,51 +174,53 @@ class SaveGate(StatefulProcessor):
         self.saved = handle.getValueState("saved", "version bigint")
         self.pending = handle.getValueState("pending", _PENDING)
 
-    def _load(self) -> list:
-        return list(self.pending.get()) if self.pending.exists() else [-1, 0] + [None, -1] * len(FIELDS)
-
     def _due(self, pending: list) -> int:
         return pending[1] // 1000 + self.gap_ms
 
-    def _emit(self, key, pending: list) -> pd.DataFrame:
-        self.saved.update((pending[0],))
-        self.pending.clear()
-        return pd.DataFrame([(key[0], pending[0], *pending[2::2])], columns=["note_id", "version", *FIELDS])
-
     @staticmethod
-    def _fold(pending: list, edits: pd.DataFrame) -> list:
-        pending = list(pending)
-        pending[0] = max(pending[0], int(edits["version"].max()))
-        pending[1] = max(pending[1], int(edits["ts"].max().value // 1000))
-        for i, field in enumerate(FIELDS):
-            given = edits[edits[field].notna()]
-            if len(given):
-                newest = given.loc[given["version"].idxmax()]
-                if newest["version"] > pending[3 + 2 * i]:
-                    pending[2 + 2 * i : 4 + 2 * i] = [newest[field], int(newest["version"])]
-        return pending
+    def _saves(key, pendings: list[list]) -> pd.DataFrame:
+        rows = [(key[0], p[0], *p[2::2]) for p in pendings]
+        return pd.DataFrame(rows, columns=["note_id", "version", *FIELDS])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch.assign(flush=batch["kind"] == "flush").sort_values(["ts", "version", "flush"])
+        at = batch["ts"].to_numpy("datetime64[us]").astype("int64")
         saved = self.saved.get()[0] if self.saved.exists() else -1
-        pending, flush = self._load(), False
-        for batch in rows:
-            flush = flush or bool((batch["kind"] == "flush").any())
-            edits = batch[(batch["kind"] != "flush") & (batch["version"] > saved)].reset_index(drop=True)
-            if len(edits):
-                pending = self._fold(pending, edits)
-        if pending[0] > saved:
+        pending = list(self.pending.get()) if self.pending.exists() else None
+        done = []
+        for time, version, flush, *fields in zip(at.tolist(), batch["version"], batch["flush"], *(batch[f] for f in FIELDS)):
+            if pending and (flush or time - pending[1] > self.gap_ms * 1000):
+                done.append(pending)
+                saved, pending = pending[0], None
             if flush:
-                yield self._emit(key, pending)
-            else:
-                self.pending.update(tuple(pending))
-                self.handle.registerTimer(self._due(pending))
+                continue
+            if pending:
+                pending[1] = max(pending[1], time)
+            if version <= saved:
+                continue
+            pending = pending or [version, time] + [None, -1] * len(FIELDS)
+            pending[0] = max(pending[0], version)
+            for i, value in enumerate(fields):
+                if not pd.isna(value) and version > pending[3 + 2 * i]:
+                    pending[2 + 2 * i : 4 + 2 * i] = [value, version]
+        if done:
+            self.saved.update((saved,))
+            yield self._saves(key, done)
+        if pending:
+            self.pending.update(tuple(pending))
+            self.handle.registerTimer(self._due(pending))
+        else:
+            self.pending.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.pending.exists():
-            pending = self._load()
+            pending = list(self.pending.get())
             # Timers of earlier edits of the burst are left behind; they mean nothing.
             if self._due(pending) <= expiredTimerInfo.getExpiryTimeInMs():
-                yield self._emit(key, pending)
+                self.saved.update((pending[0],))
+                self.pending.clear()
+                yield self._saves(key, [pending])
 
     def close(self) -> None:
         pass
@@ -224,7 +229,8 @@ class SaveGate(StatefulProcessor):
 def gate_saves(edits: DataFrame, gap_ms: int = 1500, delay: str = "15 seconds") -> DataFrame:
     """T3, T4 on a stream of edits; needs the RocksDB state store.
 
-    Pauses are measured in event time, so a replay gives the same saves.
+    Pauses are measured in event time: as long as a note's edits arrive in order, the saves
+    do not depend on how the stream is cut into micro-batches.
     """
     return (
         edits.withWatermark("ts", delay)
@@ -247,16 +253,24 @@ def log_saves(saves: DataFrame, path: str, now: dt.datetime) -> DataStreamWriter
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(F.col("note_id").alias("id"), "version", *FIELDS)
-        if rows.isEmpty():
-            return
-        embedded_images(rows, now).write.mode("overwrite").parquet(f"{path}/images/batch={batch_id}")
-        tokenize_notes(rows).write.mode("overwrite").parquet(f"{path}/saves/batch={batch_id}")
+        # The batch is computed once for both writes.
+        rows = batch.select(F.col("note_id").alias("id"), "version", *FIELDS).persist(StorageLevel.DISK_ONLY)
+        try:
+            if not rows.isEmpty():
+                embedded_images(rows, now).write.mode("overwrite").parquet(f"{path}/images/batch={batch_id}")
+                tokenize_notes(rows).write.mode("overwrite").parquet(f"{path}/saves/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return saves.writeStream.foreachBatch(write)
 
 
-def apply_log(notes: DataFrame, log: DataFrame, now: dt.datetime) -> DataFrame:
-    """The snapshot with the newest saved fields of each note (M2)."""
-    newest = latest_per_note(log.withColumnRenamed("id", "note_id")).withColumnRenamed("note_id", "id")
-    return update_notes(notes, newest, now)
+def apply_log(
+    notes: DataFrame, images: DataFrame, saves: DataFrame, saved_images: DataFrame, now: dt.datetime
+) -> tuple[DataFrame, DataFrame]:
+    """Notes and images with the newest saved fields of each note.
+
+    ``saves`` and ``saved_images`` are the two folders of the log.
+    """
+    newest = latest_per_note(saves.withColumnRenamed("id", "note_id")).withColumnRenamed("note_id", "id")
+    return merge_saves(notes, images, newest, saved_images, now)

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from helpers import NOW, notes
+from helpers import NOW, ids, images, notes
 from pyspark.sql import functions as F
 
 from inkgrove.schemas import NOTE_EDITS
@@ -112,6 +112,30 @@ def test_gate(spark, tmp_path):
     assert sorted((r.note_id, r.version, r.title, r.content) for r in got) == [("a", 3, "t2", "c3"), ("b", 9, None, "w"), ("c", 20, None, "later")]
 
 
+@pytest.mark.parametrize("cuts", [[], [2], [1, 2, 3, 4, 5, 6, 7]])
+def test_gate_does_not_depend_on_batches(spark, tmp_path, cuts):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    rows = [
+        ("a", 0, 1, "edit", "t1", "c1"),
+        ("a", 10, 1, "flush", None, None),
+        ("a", 100_000, 2, "edit", None, "c2"),
+        # 1,500 ms later is within the pause, 1,501 is not.
+        ("a", 101_500, 4, "edit", None, "c4"),
+        ("a", 103_001, 3, "edit", "stale", "stale"),
+        ("a", 103_002, 5, "edit", "t5", None),
+        ("b", 500_000, 6, "edit", None, "b6"),
+        ("b", 900_000, 6, "flush", None, None),
+    ]
+    borders = [0, *cuts, len(rows)]
+    batches = [rows[i:j] for i, j in zip(borders, borders[1:])]
+    got = run(spark, tmp_path, batches, lambda s: E.gate_saves(s, 1500, "2 seconds"))
+    assert sorted((r.note_id, r.version, r.title, r.content) for r in got) == [
+        ("a", 1, "t1", "c1"), ("a", 4, None, "c4"), ("a", 5, "t5", None), ("b", 6, None, "b6")]
+
+
 def test_saves_reach_the_notes(spark, tmp_path):
     image = "data:image/png;base64,AAAA"
     batches = [
@@ -120,8 +144,17 @@ def test_saves_reach_the_notes(spark, tmp_path):
     ]
     log = str(tmp_path / "log")
     run(spark, tmp_path, batches, E.stream_saves, lambda df: E.log_saves(df, log, NOW))
-    saves = spark.read.parquet(f"{log}/saves")
-    row = E.apply_log(notes(spark, [{"title": "old", "content": "old"}, {}]), saves, NOW).where("id = 'n0'").first()
+    saves, logged = spark.read.parquet(f"{log}/saves"), spark.read.parquet(f"{log}/images")
+    before = notes(spark, [{"title": "old", "content": "old"}, {}])
+    stored = images(spark, [("kept", "n0", "image/png", "AAAA"), ("other", "n1", "image/png", "AAAA")])
+    after, left = E.apply_log(before, stored, saves, logged, NOW)
+    row = after.where("id = 'n0'").first()
     assert (row.title, row.content, row.updated_at) == ("new", "second", NOW)
-    assert spark.read.parquet(f"{log}/images").where("note_id = 'n0'").count() == 1
+    # The second save no longer mentions the image; the other note was not saved.
+    assert ids(left) == ["other"]
+    # After the first save alone, the token names the image as it is stored.
+    after, left = E.apply_log(before, stored, saves.where("version < 3"), logged, NOW)
+    assert after.where("id = 'n0'").first().content == "![i](note-image://kept)"
+    assert sorted(ids(left)) == ["kept", "other"]
+    assert logged.where("note_id = 'n0'").count() == 1
     assert saves.where(F.col("content").contains("note-image://")).count() == 1
