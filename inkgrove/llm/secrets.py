@@ -10,6 +10,9 @@ parsed:
   lengths and the fields of a private key (PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1);
   base64 may be wrapped over lines, as in PEM;
 * ``openssh``: base64 of an ``openssh-key-v1`` container whose nested lengths add up.
+
+Where a key in base64 ends is read from its own lengths, so whatever stands before or below
+it, other keys too, is neither taken for a part of it nor hides it.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,8 +42,12 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-# A candidate is a run of base64, or several of them on lines of their own.
-ENCODED = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+# Base64 of an ASN.1 sequence begins with M and A to P, that of the OpenSSH container with b3Bl.
+KEY_START = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3Bl)")
+# A run of base64, or several of them on lines of their own.
+ENCODED = re.compile(r"[A-Za-z0-9+/]+(?:\r?\n[A-Za-z0-9+/]+)*")
+LINE = re.compile(r"[A-Za-z0-9+/]+")
+PADDING = re.compile(r"={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 
 
@@ -146,60 +155,119 @@ def is_private_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether bytes are an OpenSSH private key container with lengths that add up."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+MAGIC = b"openssh-key-v1\0"
+# Ciphers that append a tag of 16 bytes, which no length counts.
+TAGGED = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com")
+
+
+def openssh_size(read: Callable[[int, int], bytes], size: int) -> int:
+    """Bytes of the OpenSSH private key container that begins ``size`` bytes; 0 if its lengths don't add up.
+
+    ``read`` gives bytes by position and number.
+    """
+    if size < len(MAGIC) or read(0, len(MAGIC)) != MAGIC:
+        return 0
+    at = len(MAGIC)
 
-    def string() -> bytes | None:
+    def number() -> int:
         nonlocal at
-        if at + 4 > len(data):
-            return None
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return None
-        at += 4 + n
-        return data[at - n : at]
+        at += 4
+        return int.from_bytes(read(at - 4, 4), "big") if at <= size else size
 
-    if string() is None or string() is None or string() is None or at + 4 > len(data):
-        return False
-    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= keys <= 16:
-        return False
-    return all(string() is not None for _ in range(keys)) and bool(string())
+    def string() -> int:
+        """Length of the string at ``at``, which moves behind it."""
+        nonlocal at
+        n = number()
+        at += n
+        return n
+
+    cipher = string()
+    tag = 16 if at <= size and cipher <= 64 and read(at - cipher, cipher) in TAGGED else 0
+    string(), string()
+    keys = number()
+    if at > size or not 1 <= keys <= 16:
+        return 0
+    for _ in range(keys):
+        string()
+    if not string() or at > size:
+        return 0
+    return min(at + tag, size)
 
 
-def _decoded(run: str) -> bytes | None:
-    body = re.sub(r"[\r\n=]", "", run)
+def is_openssh_key(data: bytes) -> bool:
+    """Whether bytes are one OpenSSH private key container with lengths that add up."""
+    return 0 < openssh_size(lambda at, n: data[at : at + n], len(data)) == len(data)
+
+
+def _decoded(body: str) -> bytes | None:
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def sequence_size(head: bytes) -> int:
+    """Bytes of the ASN.1 sequence that begins with ``head``; 0 if none does."""
+    if head[0] != SEQUENCE or head[1] < 0x80:
+        return 2 + head[1] if head[0] == SEQUENCE else 0
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+
+
+def _key_at(body: str, start: int) -> tuple[str, int] | None:
+    """Kind of the key whose base64 begins at ``start``, and where it ends."""
+    size = (len(body) - start) * 3 // 4
+    if size < 6:
+        return None
+
+    def read(at: int, n: int) -> bytes:
+        first = at // 3
+        return _decoded(body[start + 4 * first : start - (at + n) // -3 * 4])[at - 3 * first :][:n]
+
+    openssh = body.startswith("b3Bl", start)
+    n = openssh_size(read, size) if openssh else sequence_size(read(0, 6))
+    if not 0 < n <= size:
+        return None
+    end = start + (4 * n + 2) // 3
+    data = _decoded(body[start:end])
+    if data and (is_openssh_key(data) if openssh else is_private_key(data)):
+        return "openssh" if openssh else "der", end
+    return None
+
+
+def _keys(text: str, start: int, end: int) -> Iterator[Span]:
+    """Keys in a run of base64: at the start of each line that no key covers, and right behind each key."""
+    lines = [m.span() for m in LINE.finditer(text, start, end)]
+    body = "".join(text[a:b] for a, b in lines)
+    # Where each line begins in the body.
+    begins = [0, *accumulate(b - a for a, b in lines)]
+
+    def place(at: int) -> int:
+        line = bisect_right(begins, at) - 1
+        return lines[line][0] + at - begins[line]
+
+    done = 0
+    for begin, after in zip(begins, begins[1:]):
+        at = max(begin, done)
+        while at < after and KEY_START.match(body[at : at + 4]):
+            found = _key_at(body, at)
+            if not found:
+                break
+            kind, done = found
+            yield Span(kind, place(at), PADDING.match(text, place(done - 1) + 1).end())
+            at = done
+
+
 def confirmed_spans(text: str) -> Iterator[Span]:
     """Spans of the added kinds, each confirmed by its decoded content."""
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
             if is_signed_token(m[0]):
                 yield Span("jwt", *m.span())
-    for m in ENCODED.finditer(text):
-        # Base64 of an ASN.1 sequence begins with M, that of the OpenSSH container with b3Bl.
-        if m[0][0] == "M" or m[0].startswith("b3Bl"):
-            # Text below a key may look like base64 too: try the run without its last lines.
-            lines = m[0].count("\n")
-            end = m.end()
-            for _ in range(min(lines, 3) + 1):
-                data = _decoded(text[m.start() : end])
-                kind = data and ("der" if is_private_key(data) else "openssh" if is_openssh_key(data) else None)
-                if kind:
-                    yield Span(kind, m.start(), end)
-                    break
-                end = max(text.rfind("\n", m.start(), end), m.start())
-                if end > m.start() and text[end - 1] == "\r":
-                    end -= 1
+    at = 0
+    while m := KEY_START.search(text, at):
+        at = ENCODED.match(text, m.start()).end()
+        yield from _keys(text, m.start(), at)
     for m in HEX_KEY.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             yield Span("der", *m.span())

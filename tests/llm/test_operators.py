@@ -154,6 +154,35 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_every_key_of_a_run_is_found():
+    ed25519 = lambda i: der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes([i]) * 32)))
+    keys = [base64.b64encode(ed25519(i)).decode() for i in range(40)]
+    assert {len(k) for k in keys} == {64}
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    head = lambda cipher: b"openssh-key-v1\0" + string(cipher) + string(b"none") + string(b"") + b"\0\0\0\1"
+    plain = head(b"none") + string(b"p" * 51) + string(b"k" * 137)
+    sealed = head(b"aes256-gcm@openssh.com") + string(b"p" * 51) + string(b"k" * 137) + b"t" * 16
+    padded = base64.b64encode(der(0x30, der(2, b"\1") + der(4, b"s" * 32))).decode()
+    bare = [base64.b64encode(x).decode().rstrip("=") for x in (plain, sealed)]
+    bare.append(padded.rstrip("="))
+
+    def found(text):
+        return [text[s.start : s.end] for s in secrets.find(text) if s.kind in ("der", "openssh")]
+
+    for n in (1, 2, 5, 40):
+        assert found("\n".join(keys[:n])) == keys[:n]
+        assert found("\r\n".join([*keys[:n], ""])) == keys[:n]
+    words = ["one", "word", "a", "line", "and", "more"]
+    filler = "x" * 50
+    for key in (*keys[:2], *bare):
+        assert found("\n".join([key, *words])) == [key]
+        assert found("\n".join([filler, "M" + filler, key, *words, key])) == [key, key]
+        wrapped = "\n".join(key[i : i + 24] for i in range(0, len(key), 24))
+        assert found("\n".join([filler, wrapped, *words])) == [wrapped]
+    assert found(f"{keys[0]}{keys[1]}\n{padded}\n{keys[2]}") == [keys[0], keys[1], padded, keys[2]]
+    assert found(bare[0][:-4]) == found(keys[0][:-1]) == found("MAP\nof\nMAM\nM\nMA") == found("b3Bl\nb3Bl") == []
+
+
 def brute_lines(rows, least):
     keys = [line_dedup.keys_of(bytes(t or "", "utf8")) for _, t in rows]
     count = {}
