@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,7 +33,12 @@ STEPS = 150
 
 # HTML element names by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|button|title"
+# Elements whose content is no markup; they run to the page's end if nothing ends them.
+RAW = frozenset("script style textarea title".split())
+# Elements without main text.  They need an end tag of their own, or only the tag goes.
+DROPPED = frozenset("noscript template iframe svg canvas object select button".split())
+# Those of them that can't hold another of their kind.
+FLAT = frozenset("noscript iframe select button".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
@@ -54,12 +60,13 @@ MARKED = ("article", "main", "nav", "header", "footer", "aside", "form", "head",
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)"""
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+DROPPED_START = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 OTHER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|hidden|login|"
@@ -94,6 +101,46 @@ def _element(name: str, rest: str) -> Element:
     return Element(name, bool(OTHER.search(hints)), bool(MAIN.search(hints)), bool(HIDDEN.search(rest)))
 
 
+def _closes_itself(rest: str) -> bool:
+    """Whether a start tag ends with a slash that isn't the end of a value without quotes."""
+    rest = rest.rstrip()
+    return rest.endswith("/") and "=" not in re.split(r"[\s\"']", rest)[-1]
+
+
+def _tags(page: str) -> Iterator[tuple[str, bool, str, int, int]]:
+    """Name (empty for comments and the like), whether an end tag, attributes, start and end of every tag.
+
+    Raw elements count as one tag, with their content.
+    """
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name, ends, rest = (m["name"], m["end"], m["rest"]) if m["name"] else (m["name2"], m["end2"], m["rest2"])
+        name = (name or "").lower()
+        if name in RAW and not ends and not _closes_itself(rest):
+            closing = RAW_END[name].search(page, at)
+            at = closing.end() if closing else len(page)
+        yield name, bool(ends), rest or "", m.start(), at
+
+
+def _dropped(page: str) -> dict[int, int]:
+    """Start and end of the elements of ``DROPPED`` that have an end tag."""
+    out: dict[int, int] = {}
+    if DROPPED_START.search(page):
+        open_: dict[str, list[int]] = {name: [] for name in DROPPED}
+        for name, ends, rest, start, end in _tags(page):
+            if name not in DROPPED:
+                continue
+            if ends:
+                if open_[name]:
+                    out[open_[name].pop()] = end
+            elif not _closes_itself(rest):
+                if name in FLAT:
+                    open_[name].clear()
+                open_[name].append(start)
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page with any visible text, in page order."""
     out: list[Block] = []
@@ -118,18 +165,20 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
             in_links = 0
 
-    for m in TOKEN.finditer(page):
-        text_until(m.start())
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+    dropped = _dropped(page)
+    for name, ends, rest, start, end in _tags(page):
+        if start < at:
+            continue
+        text_until(start)
+        at = dropped.get(start, end)
+        if not name or name in RAW or name in DROPPED:
             continue
         if name == "br":
             pieces.append(" ")
             continue
         if name in BLOCK:
             flush()
-        if m["end"] or m["end2"]:
+        if ends:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i].name == name:
                     del open_[i:]
@@ -142,7 +191,6 @@ def blocks(page: str) -> list[Block]:
                         break
                     if open_[i].name in BLOCK:
                         break
-            rest = m["rest"] if m["name"] else m["rest2"]
             if not rest.rstrip().endswith("/") or name in BLOCK or name == "a":
                 open_.append(_element(name, rest if len(rest) < 500 else rest[:500]))
     text_until(len(page))

@@ -241,6 +241,22 @@ def test_page_text(spark):
     assert page_text.main_text(pages.where("page_id < 0"), page_text.fallback()).count() == 0
 
 
+def test_tags_take_no_text_of_others():
+    text = lambda page: [b.text for b in page_text.blocks(page)]
+    article = "<article><p>Text.</p></article>"
+    for name in ("svg-icon", "button-group", "title-bar", "template-x", "select-box", "script-list"):
+        assert text(f"<{name} name=x></{name}>{article}") == ["Text."]
+    for tag in ('<svg class="i"/>', "<svg/>", "<iframe/>", '<iframe src="x" />', "<button>", "<select>", "<object>", "<svg><title/>"):
+        assert text(tag + article) == ["Text."]
+        assert text(f"{tag}{article}<button>x</button><select>y</select><svg>z</svg>") == ["Text."]
+    assert text(f"<button>{article}<button>Go</button>") == ["Text."]
+    assert text(f"<svg><svg>a</svg>b<title/>c</svg>{article}<object>d<object>e</object></object>") == ["Text."]
+    assert text(f"<object data=x/>no</object><SVG a='>'>no</SVG >{article}") == ["Text."]
+    for name in ("script", "style", "textarea", "title"):
+        assert text(f"{article}<{name} a='>'><p>no</p></{name}-x><p>no</{name} >{article}") == ["Text.", "Text."]
+        assert text(f"{article}<{name}><svg>{article}") == ["Text."]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     model = page_text.Crf(rng.normal(size=(2, len(page_text.FEATURES))), rng.normal(size=(2, 2)))
