@@ -67,7 +67,10 @@ TOKEN = re.compile(
 )
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 DROPPED_START = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
-HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+HINTS = frozenset("class id role aria-label".split())
+# Attribute texts longer than this aren't cached.
+SHORT = 500
 OTHER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|hidden|login|"
     r"menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|"
@@ -75,7 +78,8 @@ OTHER = re.compile(
     re.I,
 )
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post\w*|story\w*|text)(?:$|[\s_-])", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+HIDDEN = re.compile(r"(?<!overflow-)(?<!overflow-[xy]-)\bhidden\b", re.I)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass(frozen=True)
@@ -95,10 +99,24 @@ class Block:
     linked: float
 
 
-@lru_cache(maxsize=4096)
 def _element(name: str, rest: str) -> Element:
-    hints = " ".join(a or b or c for a, b, c in HINT.findall(rest)) if "=" in rest else ""
-    return Element(name, bool(OTHER.search(hints)), bool(MAIN.search(hints)), bool(HIDDEN.search(rest)))
+    """An element by its attributes, all of them; what data and scripts hold says nothing about it."""
+    hints, hidden = [], False
+    for key, *quoted in ATTRIBUTE.findall(rest):
+        key, value = key.lower(), "".join(quoted)
+        if key in HINTS:
+            hints.append(value)
+        if key in ("class", "id"):
+            hidden = hidden or bool(HIDDEN.search(value))
+        elif key == "style":
+            hidden = hidden or bool(HIDDEN_STYLE.search(value))
+        else:
+            hidden = hidden or key == "hidden" or (key == "aria-hidden" and value.lower() != "false")
+    said = " ".join(hints)
+    return Element(name, bool(OTHER.search(said)), bool(MAIN.search(said)), hidden)
+
+
+_cached_element = lru_cache(maxsize=4096)(_element)
 
 
 def _closes_itself(rest: str) -> bool:
@@ -192,7 +210,7 @@ def blocks(page: str) -> list[Block]:
                     if open_[i].name in BLOCK:
                         break
             if not rest.rstrip().endswith("/") or name in BLOCK or name == "a":
-                open_.append(_element(name, rest if len(rest) < 500 else rest[:500]))
+                open_.append((_cached_element if len(rest) < SHORT else _element)(name, rest))
     text_until(len(page))
     flush()
     return out

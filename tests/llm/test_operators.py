@@ -257,6 +257,21 @@ def test_tags_take_no_text_of_others():
         assert text(f"{article}<{name}><svg>{article}") == ["Text."]
 
 
+def test_attributes_are_read_whole():
+    long = f"""data-state='{{"hidden":false,"class":"sidebar","pad":"{"x" * 600}"}}' style="overflow:hidden;--a:{"0" * 600}" """
+
+    def of(attributes):
+        (block,) = page_text.blocks(f"<div {attributes}>Text.</div>") or [None]
+        return block and (block.around[0].other, block.around[0].main)
+
+    for before in ("", long):
+        assert of(before) == (False, False)
+        assert of(f"{before}class=sidebar") == of(f'{before}role="navigation"') == of(f"{before}ID='ad'") == (True, False)
+        assert of(f'{before}class="x post-body"') == (False, True)
+        for hidden in ("hidden", 'class="is-hidden"', 'style="display: none"', "aria-hidden=true"):
+            assert of(before + hidden) is None
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     model = page_text.Crf(rng.normal(size=(2, len(page_text.FEATURES))), rng.normal(size=(2, 2)))
