@@ -405,3 +405,22 @@ def test_decontamination(spark, docs, empty):
     assert left.columns == table.columns and left.count() == table.count() - 2
     assert decontamination.matches(empty, bench).count() == 0
     assert decontamination.matches(table, bench.where("false")).count() == 0
+
+
+def test_part_of_an_item_is_a_copy(spark):
+    rng = random.Random(10)
+    text = lambda kind, n: " ".join(f"{kind}{rng.randrange(4000)}" for _ in range(n))
+    items = [(0, text("b", 59)), (1, text("b", 300)), (2, text("b", 59)), (3, text("b", 59)), (4, text("b", 59))]
+    words = [item.split() for _, item in items]
+    rows = [
+        (0, f"{text('f', 90)} {' '.join(words[0][:44])} {text('f', 90)}"),
+        (1, f"{text('f', 50)} {' '.join(words[1][80:220])} {text('f', 200)}"),
+        (2, f"{text('f', 70)} {' '.join(words[2][20:36])}"),
+        (3, f"{text('f', 70)} {' '.join(words[3][20:35])} {text('f', 70)}"),
+        # Known words, never 16 in their order.
+        (4, " ".join(w for i in range(0, 48, 12) for w in [*words[4][i : i + 12], words[2][i]][::-1])),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.matches(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind, r.lcs) for r in found) == [
+        (0, 0, "copy", 44), (1, 1, "copy", 140), (2, 2, "copy", 16)]
