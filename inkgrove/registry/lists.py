@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from inkgrove.functions.tags import add_tag, parse_tags, remove_tag, write_tags
+from inkgrove.operators import changes as M
 from inkgrove.operators import notes as N
 from inkgrove.operators import stats as S
 from inkgrove.operators import tag_tree as G
 from inkgrove.plans.ordered import with_position
 from inkgrove.registry.base import iso, iso_sql, query
+from inkgrove.registry.datasets import NOW
 from inkgrove.schemas import NOTES, conform
 
 _IDS = "SELECT id, title, {u} AS updated FROM active".format(u=iso_sql("updated_at"))
@@ -360,7 +362,9 @@ def _(d):
 )
 def _(d):
     """The German library is emptied first, so that one may go."""
-    return S.deletable_libraries(d.libraries(), d.notes().where("library_id <> 'de'"))
+    notes = d.notes()
+    emptied = M.soft_delete(notes, notes.where("library_id = 'de'").select("id"), NOW)
+    return S.deletable_libraries(d.libraries(), emptied)
 
 
 @query("default_library_o7", "libraries", "SELECT id FROM libraries ORDER BY id = 'en' DESC, id LIMIT 1")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkgrove.functions.text import folder_name
+from inkgrove.operators import changes as M
 from inkgrove.operators import checks as C
 from inkgrove.operators import folders as T
 from inkgrove.plans.ordered import with_position
 from inkgrove.registry.base import query
+from inkgrove.registry.datasets import NOW
 from inkgrove.schemas import FOLDERS, NOTES, SMART_FOLDERS, is_smart
 
 
@@ -64,7 +66,9 @@ def _(d):
               ELSE '' END AS reason FROM folders f)""",
 )
 def _(d):
-    return T.deletable_folders(d.folders(), d.notes("de"))
+    """Notes of other languages are deleted first, so that some folders may go."""
+    notes = d.notes()
+    return T.deletable_folders(d.folders(), M.soft_delete(notes, notes.where("library_id <> 'de'").select("id"), NOW))
 
 
 @query(
@@ -224,15 +228,13 @@ def _(d):
               WHERE parent_id = 'n3' AND id NOT IN ('s1', 's2', 'n3'))""",
 )
 def _(d):
-    """Three folders are taken out, and images of deleted notes count as broken."""
+    """Three folders are taken out, and images of deleted notes are moved to notes that don't exist."""
     folders = d.folders().where(~F.col("id").isin("s1", "s2", "n3"))
-    images = d.images().select("id", "note_id")
     notes = d.notes()
-    kept = notes.where("deleted_at is null")
-    parts = C.reference_report(notes, folders, images.limit(0))
-    broken = C.dangling(images, "note_id", kept.select("id"))
-    counted = broken.agg(F.count("*").alias("broken")).select(F.lit("note_images.note_id").alias("reference"), "broken")
-    return parts.where("reference <> 'note_images.note_id'").unionByName(counted)
+    gone = notes.where("deleted_at is not null").select(F.col("id").alias("gone"))
+    moved = d.images().join(gone, F.col("note_id") == F.col("gone"), "left")
+    target = F.when(F.col("gone").isNull(), F.col("note_id")).otherwise(F.concat("note_id", F.lit("-gone")))
+    return C.reference_report(notes, folders, moved.withColumn("note_id", target).drop("gone"))
 
 
 @query(
