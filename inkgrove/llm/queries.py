@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrove.llm import (
+    alignment,
     decontamination,
     fingerprints,
     line_dedup,
     near_dup,
     packing,
     page_text,
+    quality,
     quotations,
     secrets,
     token_counts,
     toxicity,
+    whitening,
 )
-from inkgrove.llm.common import bound_batches, table
+from inkgrove.llm.common import bound_batches, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +133,25 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("body").cast("long").alias("n_chars"),
         F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"),
     )
+
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of the label quality for every document, and whether it was held out of training."""
+    described = stored(quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    scored = quality.score(described, quality.train(described, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, with its links held against all documents."""
+    linked = alignment.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return linked.select("doc_id", *counts, F.col("groups").alias("groups_sha256"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four components of largest variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
