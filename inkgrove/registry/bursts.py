@@ -67,6 +67,32 @@ def _(d):
     return E.effective_edits(d.as_edits(events)).select("note_id", "version")
 
 
+@query(
+    "effective_edits_base_t5",
+    "",
+    """WITH base AS (SELECT 'u' || c_custkey AS note_id, CASE WHEN c_custkey % 2 = 0 THEN 'click' END AS title,
+                            CASE WHEN c_custkey % 3 = 0 THEN 'view' ELSE 'error' END AS content FROM customer),
+       rows AS (SELECT 'u' || user_id AS note_id, event_id AS version, event_type AS content,
+                       CASE WHEN event_id % 3 = 0 THEN event_type END AS title FROM events
+                UNION ALL SELECT note_id, -1, content, title FROM base),
+       known AS (SELECT *, last_value(content IGNORE NULLS) OVER w AS old_content, last_value(title IGNORE NULLS) OVER w AS old_title
+                 FROM rows WINDOW w AS (PARTITION BY note_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+       SELECT note_id, version FROM known WHERE version >= 0
+         AND (content IS DISTINCT FROM old_content OR (title IS NOT NULL AND title IS DISTINCT FROM old_title))""",
+)
+def _(d):
+    """Edits against the notes as they are stored: a first edit that repeats the stored note changes nothing."""
+    events = d.table("events").withColumn("props", F.col("event_type"))
+    key = F.col("c_custkey")
+    base = d.table("customer").select(
+        F.concat(F.lit("u"), key).alias("id"),
+        F.when(key % 2 == 0, "click").alias("title"),
+        F.when(key % 3 == 0, "view").otherwise("error").alias("content"),
+        F.lit(None).cast("string").alias("content_json"),
+    )
+    return E.effective_edits(d.as_edits(events), base).select("note_id", "version")
+
+
 def _run(writer, checkpoint):
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from inkgrove.operators.changes import merge_saves
 from inkgrove.operators.images import embedded_images, tokenize_notes
+from inkgrove.plans.ordered import last_before
 
 # --- fixed values: the editor's pause before it saves, and its second timer
 SAVE_GAP = "1500 milliseconds"
@@ -104,28 +105,26 @@ def burst_saves(edits: DataFrame, gap_ms: int) -> DataFrame:
     )
 
 
-def effective_edits(edits: DataFrame) -> DataFrame:
+def effective_edits(edits: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """T5: edits that change at least one field of their note.
 
-    Compared with the last non-NULL value before, per field.  The comparison
-    needs the values in version order, so each note's edits are split into blocks
-    of versions, and the value carried into a block comes from block summaries.
+    Each field is compared with its last non-NULL value before, by version; ``base``, the
+    stored notes (id and fields), comes before a note's first edit.  Fields are compared by
+    their digests, so what one slice of a hot note hands to the next is short.
     """
-    block = (F.col("version") - F.pmod(F.col("version"), F.lit(_BLOCK))).alias("block")
-    rows = edits.select("*", block)
-    summary = rows.groupBy("note_id", "block").agg(*latest_fields()[1:])
-    by_block = Window.partitionBy("note_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    into = summary.select(
-        "note_id", "block", *[F.last(f, ignorenulls=True).over(by_block).alias(f"into_{f}") for f in FIELDS]
-    )
-    in_block = Window.partitionBy("note_id", "block").orderBy("version")
-    joined = rows.join(into, ["note_id", "block"])
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    digests = {f"__{f}": F.unhex(F.sha2(f, 256)) for f in FIELDS}
+    rows = edits.withColumns({**digests, "__edit": F.lit(True)})
+    if base is not None:
+        stored = base.select(F.col("id").alias("note_id"), *FIELDS)
+        stored = stored.join(edits.select("note_id").distinct(), "note_id", "left_semi")
+        stored = stored.withColumns({**digests, "__edit": F.lit(False)}).drop(*FIELDS)
+        rows = rows.unionByName(stored, allowMissingColumns=True)
+    names = list(digests)
+    known = last_before(rows, [F.col("note_id")], ["__edit", "version", *names], names)
     changed = F.lit(False)
-    for f in FIELDS:
-        known = F.coalesce(F.last(f, ignorenulls=True).over(before), F.col(f"into_{f}"))
-        changed = changed | (F.col(f).isNotNull() & ~F.col(f).eqNullSafe(known))
-    return joined.withColumn("changed", changed).where("changed").select(*edits.columns)
+    for d in names:
+        changed = changed | (F.col(d).isNotNull() & ~F.col(d).eqNullSafe(F.col(f"before_{d}")))
+    return known.where(F.col("__edit") & changed).select(*edits.columns)
 
 
 # -- stream ------------------------------------------------------------------
@@ -155,6 +154,11 @@ SAVE_SCHEMA = "note_id string, version bigint, title string, content string, con
 _PENDING = "version bigint, edited bigint, " + ", ".join(f"{f} string, {f}_version bigint" for f in FIELDS)
 
 
+# Rows of one note that a worker holds before it puts them aside.
+_HELD = 4096
+_ROWS = "ts array<bigint>, version array<bigint>, flush array<boolean>, " + ", ".join(f"{f} array<string>" for f in FIELDS)
+
+
 class SaveGate(StatefulProcessor):
     """Saves in version order.
 
@@ -162,17 +166,21 @@ class SaveGate(StatefulProcessor):
     ``flush``, ends a save; a flush carries no edit and comes after the edits of its time.
     Edits not newer than the saves before are stale: they hold a save open, but change
     nothing.  State per note: the last saved version and the open save.  A timer stands for
-    the pause when nothing follows.  A worker holds the rows of one note in one micro-batch,
-    which the source's rate limits bound (``maxFilesPerTrigger`` and the like).
+    the pause when nothing follows.
+
+    A worker holds at most ``held`` rows of a note.  When a micro-batch has more, they are
+    put aside in map state, in cells as long as the gap, and then taken cell by cell in the
+    order of time; so memory is bounded by ``held``, an Arrow batch and the rows of one cell.
     """
 
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+    def __init__(self, gap_ms: int, held: int = _HELD):
+        self.gap_ms, self.held = gap_ms, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.saved = handle.getValueState("saved", "version bigint")
         self.pending = handle.getValueState("pending", _PENDING)
+        self.aside = handle.getMapState("aside", "cell bigint, part int", _ROWS)
 
     def _due(self, pending: list) -> int:
         return pending[1] // 1000 + self.gap_ms
@@ -182,31 +190,62 @@ class SaveGate(StatefulProcessor):
         rows = [(key[0], p[0], *p[2::2]) for p in pendings]
         return pd.DataFrame(rows, columns=["note_id", "version", *FIELDS])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.assign(flush=batch["kind"] == "flush").sort_values(["ts", "version", "flush"])
+    @staticmethod
+    def _rows(batch: pd.DataFrame) -> list[tuple]:
+        """(time, version, flush, *fields) of a batch; missing fields are None."""
         at = batch["ts"].to_numpy("datetime64[us]").astype("int64")
+        fields = (batch[f].astype(object).where(batch[f].notna(), None) for f in FIELDS)
+        return list(zip(at.tolist(), batch["version"].tolist(), (batch["kind"] == "flush").tolist(), *fields))
+
+    def _put_aside(self, rows: list[tuple], parts: dict[int, int]) -> None:
+        cells: dict[int, list[tuple]] = {}
+        for row in rows:
+            cells.setdefault(row[0] // (self.gap_ms * 1000), []).append(row)
+        for cell, own in cells.items():
+            part = parts.get(cell, 0)
+            parts[cell] = part + 1
+            self.aside.updateValue((cell, part), tuple(map(list, zip(*own))))
+
+    def _take_back(self, parts: dict[int, int]) -> Iterator[list[tuple]]:
+        for cell in sorted(parts):
+            rows: list[tuple] = []
+            for part in range(parts[cell]):
+                rows += zip(*self.aside.getValue((cell, part)))
+                self.aside.removeKey((cell, part))
+            yield rows
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        parts: dict[int, int] = {}
+        for batch in rows:
+            held += self._rows(batch)
+            if len(held) > self.held:
+                self._put_aside(held, parts)
+                held = []
+        if parts:
+            self._put_aside(held, parts)
         saved = self.saved.get()[0] if self.saved.exists() else -1
         pending = list(self.pending.get()) if self.pending.exists() else None
-        done = []
-        for time, version, flush, *fields in zip(at.tolist(), batch["version"], batch["flush"], *(batch[f] for f in FIELDS)):
-            if pending and (flush or time - pending[1] > self.gap_ms * 1000):
-                done.append(pending)
-                saved, pending = pending[0], None
-            if flush:
-                continue
-            if pending:
-                pending[1] = max(pending[1], time)
-            if version <= saved:
-                continue
-            pending = pending or [version, time] + [None, -1] * len(FIELDS)
-            pending[0] = max(pending[0], version)
-            for i, value in enumerate(fields):
-                if not pd.isna(value) and version > pending[3 + 2 * i]:
-                    pending[2 + 2 * i : 4 + 2 * i] = [value, version]
-        if done:
-            self.saved.update((saved,))
-            yield self._saves(key, done)
+        for own in self._take_back(parts) if parts else [held]:
+            done = []
+            for time, version, flush, *fields in sorted(own, key=lambda r: r[:3]):
+                if pending and (flush or time - pending[1] > self.gap_ms * 1000):
+                    done.append(pending)
+                    saved, pending = pending[0], None
+                if flush:
+                    continue
+                if pending:
+                    pending[1] = max(pending[1], time)
+                if version <= saved:
+                    continue
+                pending = pending or [version, time] + [None, -1] * len(FIELDS)
+                pending[0] = max(pending[0], version)
+                for i, value in enumerate(fields):
+                    if value is not None and version > pending[3 + 2 * i]:
+                        pending[2 + 2 * i : 4 + 2 * i] = [value, version]
+            if done:
+                self.saved.update((saved,))
+                yield self._saves(key, done)
         if pending:
             self.pending.update(tuple(pending))
             self.handle.registerTimer(self._due(pending))
@@ -226,7 +265,7 @@ class SaveGate(StatefulProcessor):
         pass
 
 
-def gate_saves(edits: DataFrame, gap_ms: int = 1500, delay: str = "15 seconds") -> DataFrame:
+def gate_saves(edits: DataFrame, gap_ms: int = 1500, delay: str = "15 seconds", held: int = _HELD) -> DataFrame:
     """T3, T4 on a stream of edits; needs the RocksDB state store.
 
     Pauses are measured in event time: as long as a note's edits arrive in order, the saves
@@ -236,7 +275,7 @@ def gate_saves(edits: DataFrame, gap_ms: int = 1500, delay: str = "15 seconds")
         edits.withWatermark("ts", delay)
         .groupBy("note_id")
         .transformWithStateInPandas(
-            statefulProcessor=SaveGate(gap_ms), outputStructType=SAVE_SCHEMA, outputMode="append", timeMode="eventTime"
+            statefulProcessor=SaveGate(gap_ms, held), outputStructType=SAVE_SCHEMA, outputMode="append", timeMode="eventTime"
         )
     )
 

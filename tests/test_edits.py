@@ -7,6 +7,7 @@ import pytest
 from helpers import NOW, ids, images, notes
 from pyspark.sql import functions as F
 
+from inkgrove.plans import ordered
 from inkgrove.schemas import NOTE_EDITS
 from inkgrove.streaming import edits as E
 
@@ -57,8 +58,7 @@ def test_a_title_survives_later_edits(spark):
     assert (row.version, row.title, row.content) == (2, "t", "d")
 
 
-def test_edits_without_effect(spark, monkeypatch):
-    monkeypatch.setattr(E, "_BLOCK", 4)
+def test_edits_without_effect(spark):
     rows = [("a", 0, v, "edit", None if v % 3 else f"t{v // 9}", f"c{v // 2}") for v in range(40)]
     rows += [("b", 0, 1, "edit", None, None), ("b", 0, 2, "edit", None, "x"), ("b", 0, 9, "edit", None, None), ("b", 0, 17, "edit", None, "x")]
     want, known = [], {}
@@ -71,6 +71,49 @@ def test_edits_without_effect(spark, monkeypatch):
     assert sorted((r.note_id, r.version) for r in got.collect()) == want
 
 
+def test_edits_against_the_stored_notes(spark):
+    """The stored note is compared with the first edits; other notes' rows play no part."""
+    stored = notes(spark, [{"id": "a", "title": "t", "content": "c"}, {"id": "b", "content": "x"}, {"id": "unedited"}])
+    rows = [
+        ("a", 0, 1, "edit", "t", "c"), ("a", 0, 2, "edit", None, "c"), ("a", 0, 3, "edit", "u", None), ("a", 0, 4, "edit", "u", "c"),
+        ("b", 0, 1, "edit", None, "y"), ("b", 0, 2, "edit", None, "y"), ("new", 0, 1, "edit", "t", None), ("new", 0, 2, "edit", None, None),
+    ]
+    got = sorted((r.note_id, r.version) for r in E.effective_edits(edits(spark, rows), stored).collect())
+    assert got == [("a", 3), ("b", 1), ("new", 1)]
+    assert E.effective_edits(edits(spark, []), stored).collect() == []
+
+
+def test_a_hot_note_is_scanned_in_slices(spark, monkeypatch):
+    """A note with most of the edits covers several slices, and little is handed on."""
+    seen = []
+    keep = ordered.carried_values
+
+    def watched(placed, keys, order, values):
+        carried = keep(placed, keys, order, values)
+        slices = placed.where("note_id = 'hot'").select("__slice").distinct().count()
+        seen.append((slices, carried.count(), placed.select("__slice").distinct().count(), len(carried.columns)))
+        return carried
+
+    monkeypatch.setattr(ordered, "carried_values", watched)
+    rng = random.Random(4)
+    rows = [("hot", 0, v, "edit", rng.choice([None, "t", "u"]), rng.choice([None, None, "c", "d"])) for v in range(3000)]
+    rows += [(f"n{i % 50}", 0, v, "edit", "t", "c") for i, v in enumerate(range(3000, 3400))]
+    want, known = [], {}
+    for note, _, v, _, *fields in sorted(rows, key=lambda r: (r[0], r[2])):
+        new = {k: x for k, x in enumerate(fields) if x is not None}
+        if any(known.get((note, k)) != x for k, x in new.items()):
+            want.append((note, v))
+        known.update({(note, k): x for k, x in new.items()})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = E.effective_edits(edits(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.note_id, r.version) for r in got) == sorted(want)
+    hot, carried, slices, _ = seen[0]
+    assert hot >= 3 and carried <= slices
+
+
 def run(spark, tmp_path, batches, make, writer=None):
     """Feed each list of rows as one micro-batch."""
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
@@ -136,6 +179,44 @@ def test_gate_does_not_depend_on_batches(spark, tmp_path, cuts):
         ("a", 1, "t1", "c1"), ("a", 4, None, "c4"), ("a", 5, "t5", None), ("b", 6, None, "b6")]
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("held", [1, 7, 4096])
+def test_a_hot_note_is_put_aside(spark, tmp_path, held, batches):
+    """The same saves, however few rows of a note a worker may hold, in whatever order they lie in a file."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    rng = random.Random(6)
+    rows, ms = [], 0
+    for v in range(240):
+        ms += rng.choice([1, 400, 1500, 1501, 9000])
+        kind = "flush" if rng.random() < 0.05 else "edit"
+        fields = (None, None) if kind == "flush" else (rng.choice([None, f"t{v}"]), rng.choice([None, f"c{v}"]))
+        rows.append((rng.choice(["hot", "hot", "hot", "cold"]), ms, v + rng.choice([0, 0, 0, -3]), kind, *fields))
+    rows.append(("end", 10_000_000, 999, "edit", None, None))
+    want, state = [], {}
+    for note, at, version, kind, title, content in sorted(rows, key=lambda r: (r[1], r[2], r[3] == "flush")):
+        saved, open_, last = state.get(note, (-1, None, None))
+        if open_ and (kind == "flush" or at - last > 1500):
+            want.append((note, open_[0], open_[1].get("t", (0, None))[1], open_[1].get("c", (0, None))[1]))
+            saved, open_ = open_[0], None
+        if kind != "flush":
+            last = at if open_ is None or at > last else last
+            if version > saved:
+                open_ = open_ or [version, {}]
+                open_[0] = max(open_[0], version)
+                for name, value in (("t", title), ("c", content)):
+                    if value is not None and version > open_[1].get(name, (-1, None))[0]:
+                        open_[1][name] = (version, value)
+        state[note] = (saved, open_, last)
+    want += [(n, o[0], o[1].get("t", (0, None))[1], o[1].get("c", (0, None))[1]) for n, (_, o, _) in state.items() if o and n != "end"]
+    size = -(-len(rows) // batches)
+    parts = [rng.sample(rows[i : i + size], len(rows[i : i + size])) for i in range(0, len(rows), size)]
+    got = run(spark, tmp_path, parts, lambda s: E.gate_saves(s, 1500, "2 seconds", held))
+    assert sorted((r.note_id, r.version, r.title, r.content) for r in got if r.note_id != "end") == sorted(want, key=lambda r: r)
+
+
 def test_saves_reach_the_notes(spark, tmp_path):
     image = "data:image/png;base64,AAAA"
     batches = [
