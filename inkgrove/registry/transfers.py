@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkgrove.functions.text import plain_text_body
+from inkgrove.operators.naming import unique_names
 from inkgrove.plans.lineage import cut, scratch_path
 from inkgrove.registry.base import query
 from inkgrove.registry.datasets import NOW
@@ -93,6 +94,35 @@ def _(d):
     return E.file_names(E.all_scope(d.notes(), d.folders(), d.paths()))
 
 
+@query(
+    "unique_names_collisions_w1",
+    "",
+    """WITH RECURSIVE files AS (
+        SELECT doc_id AS id, 'x' || (doc_id // 25) AS rel_dir, ['scan', 'Scan_2', 'scan', 'scan_3', 'scan_2_2', 'SCAN', 'other_2', 'scan_11'][doc_id % 8 + 1] AS base,
+               row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id * 7919 % 10007, doc_id) AS pos FROM documents),
+    step AS (
+        SELECT DISTINCT rel_dir, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name FROM files
+        UNION ALL
+        SELECT rel_dir, pos, list_append(used, lower(name)), id, name FROM (
+            SELECT s.rel_dir, f.pos, s.used, f.id, CASE WHEN NOT list_contains(s.used, lower(f.base)) THEN f.base
+                ELSE f.base || '_' || list_filter(range(2, len(s.used) + 3), lambda k: NOT list_contains(s.used, lower(f.base) || '_' || k))[1] END AS name
+            FROM step s JOIN files f ON f.rel_dir = s.rel_dir AND f.pos = s.pos + 1))
+    SELECT id, rel_dir, name AS file_base FROM step WHERE pos > 0""",
+)
+def _(d):
+    """Titles that look like each other's numbered names, among 25 files of a directory."""
+    names = F.array(*map(F.lit, ("scan", "Scan_2", "scan", "scan_3", "scan_2_2", "SCAN", "other_2", "scan_11")))
+    doc = F.col("doc_id")
+    files = d.table("documents").select(
+        doc.alias("id"),
+        F.concat(F.lit("x"), F.floor(doc / 25)).alias("rel_dir"),
+        F.get(names, (doc % 8).cast("int")).alias("base"),
+        (doc * 7919 % 10007).alias("key"),
+    )
+    named = unique_names(files, ["key", "id"], [F.col("key").asc(), F.col("id").asc()])
+    return named.select("id", "rel_dir", "file_base")
+
+
 # -- files -------------------------------------------------------------------
 
 
