@@ -1,8 +1,12 @@
 """Batch change sets (M1-M12, M14): a snapshot and changes give a new snapshot.
 
-Keys of a change set are unique.  The change side is the small one; when it is
-really small Spark broadcasts it by its measured size, and the snapshot streams
-through without a shuffle.
+A key may have several changes, each of some fields, in the order of a column ``seq``:
+they are folded field by field, the newest given value of each, before they meet the
+snapshot.  The fold is associative, so tasks shrink a hot key before the shuffle.  Without
+``seq`` a key has one change; two that differ end the job.
+
+The change side is the small one; when it is really small Spark broadcasts it by its
+measured size, and the snapshot streams through without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,20 +30,57 @@ def stamp(now: dt.datetime) -> Column:
     return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def _join_changes(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """Table rows with ``new_*`` columns and ``hit`` for changed keys.
+#: The order of a key's changes, and the names of the fields that a change sets to NULL.
+SEQ, CLEARED = "seq", "cleared"
+
+
+def fold_changes(changes: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per id: each of ``fields`` as a struct of its newest given ``value``, else NULL.
 
-    Of several changes for a key the last in the order of their columns counts.
+    A change gives a field if its value isn't NULL, or if ``cleared`` (array of names) lists
+    the field; the value is NULL then.  The newest is that of the largest ``seq``; ``seq`` is
+    distinct within an id.  Without ``seq``, changes of an id that differ raise an error.
     """
-    fields = [c for c in changes.columns if c != "id"]
-    last = changes.groupBy("id").agg(F.max(F.struct(*fields)).alias("__last")) if fields else changes.distinct()
-    changes = last.select("id", "__last.*") if fields else last
-    renamed = changes.select(
-        *[F.col(c).alias("__id" if c == "id" else f"new_{c}") for c in changes.columns], F.lit(True).alias("hit")
+    cleared = F.coalesce(F.col(CLEARED), F.array().cast("array<string>")) if CLEARED in changes.columns else None
+
+    def given(f: str) -> Column:
+        there = F.col(f).isNotNull()
+        return there if cleared is None else there | F.array_contains(cleared, f)
+
+    def value(f: str) -> Column:
+        return F.col(f) if cleared is None else F.when(~F.array_contains(cleared, f), F.col(f))
+
+    if SEQ in changes.columns:
+        newest = [F.max(F.when(given(f), F.struct(SEQ, value(f).alias("value")))).alias(f) for f in fields]
+        folded = changes.groupBy("id").agg(*newest)
+        return folded.select("id", *[F.when(F.col(f).isNotNull(), F.struct(F.col(f)["value"].alias("value"))).alias(f) for f in fields])
+    whole = F.struct(*[F.when(given(f), F.struct(value(f).alias("value"))).alias(f) for f in fields])
+    folded = changes.select("id", whole.alias("__c")).groupBy("id").agg(F.max("__c").alias("__c"), F.min("__c").alias("__other"))
+    error = F.raise_error(F.concat(F.lit("changes of one id need the column seq: "), "id"))
+    one = F.when(F.col("__c").eqNullSafe(F.col("__other")), F.col("__c")).otherwise(error.cast(folded.schema["__c"].dataType))
+    return folded.select("id", one.alias("__c")).select("id", "__c.*")
+
+
+def _join_changes(table: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
+    """Table rows with folded ``new_*`` columns and ``hit`` for changed keys."""
+    last = fold_changes(changes, fields) if fields else changes.select("id").distinct()
+    renamed = last.select(
+        *[F.col(c).alias("__id" if c == "id" else f"new_{c}") for c in last.columns], F.lit(True).alias("hit")
     )
     return table.join(renamed, F.col("id") == F.col("__id"), "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def _new(field: str, where: Column | None = None, as_stored=lambda value: value) -> Column:
+    """A field's folded value if one is given, else the row's own."""
+    given = F.col(f"new_{field}").isNotNull()
+    return F.when(given if where is None else where & given, as_stored(F.col(f"new_{field}")["value"])).otherwise(F.col(field))
+
+
+def _ordered(changes: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns, with the order and marks of the changes if there are any."""
+    return changes.select(*columns, *[c for c in (SEQ, CLEARED) if c in changes.columns])
+
+
 def _keys(keys: DataFrame) -> DataFrame:
     return keys.select(F.col(keys.columns[0]).alias("id")).distinct()
 
@@ -113,24 +154,21 @@ NOTE_FIELDS = ("title", "content", "content_json", "folder_id", "tags")
 
 
 def update_notes(notes: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:
-    """M2, M7, M8: non-NULL fields replace those of active notes.
+    """M2, M7, M8: given fields replace those of active notes.
 
-    ``content_json`` = '' stores NULL.  A row without any field changes nothing;
-    every other one sets ``updated_at``.
+    Changes are (id, any of ``NOTE_FIELDS``[, seq][, cleared]), see ``fold_changes``.
+    ``content_json`` = '' stores NULL.  A row without any field changes nothing; every
+    other one sets ``updated_at``.
     """
     fields = [f for f in NOTE_FIELDS if f in changes.columns]
-    joined = _join_changes(notes, changes.select("id", *fields))
-    given = {f: F.col(f"new_{f}").isNotNull() for f in fields}
-    any_given = F.lit(False)
-    for present in given.values():
-        any_given = any_given | present
+    joined = _join_changes(notes, _ordered(changes, "id", *fields), fields)
     live = F.col("hit") & is_active()
-    new = {}
+    new = {f: _new(f, live) for f in fields}
+    if "content_json" in new:
+        new["content_json"] = _new("content_json", live, lambda value: F.nullif(value, F.lit("")))
+    any_given = F.lit(False)
     for f in fields:
-        value = F.col(f"new_{f}")
-        if f == "content_json":
-            value = F.nullif(value, F.lit(""))
-        new[f] = F.when(live & given[f], value).otherwise(F.col(f))
+        any_given = any_given | F.col(f"new_{f}").isNotNull()
     new["updated_at"] = F.when(live & any_given, stamp(now)).otherwise(F.col("updated_at"))
     return _rewrite(joined, notes.columns, new)
 
@@ -161,25 +199,25 @@ def save_notes(
 
 
 def move_notes(notes: DataFrame, moves: DataFrame, now: dt.datetime) -> DataFrame:
-    """M7: (id, folder_id)."""
-    return update_notes(notes, moves.select("id", "folder_id"), now)
+    """M7: (id, folder_id[, seq])."""
+    return update_notes(notes, _ordered(moves, "id", "folder_id"), now)
 
 
 def replace_tags(notes: DataFrame, tagged: DataFrame, now: dt.datetime) -> DataFrame:
-    """M8: (id, tags); tags are trimmed, blank ones dropped."""
-    return update_notes(notes, tagged.select("id", clean_tags(F.col("tags")).alias("tags")), now)
+    """M8: (id, tags[, seq]); tags are trimmed, blank ones dropped."""
+    return update_notes(notes, _ordered(tagged, "id", clean_tags(F.col("tags")).alias("tags")), now)
 
 
 def soft_delete(notes: DataFrame, keys: DataFrame, now: dt.datetime) -> DataFrame:
     """M3: marks active notes; ``updated_at`` stays."""
-    joined = _join_changes(notes, _keys(keys))
+    joined = _join_changes(notes, _keys(keys), [])
     gone = F.when(F.col("hit") & is_active(), stamp(now)).otherwise(F.col("deleted_at"))
     return _rewrite(joined, notes.columns, {"deleted_at": gone})
 
 
 def restore(notes: DataFrame, keys: DataFrame) -> DataFrame:
     """M4."""
-    joined = _join_changes(notes, _keys(keys))
+    joined = _join_changes(notes, _keys(keys), [])
     return _rewrite(joined, notes.columns, {"deleted_at": F.when(~F.col("hit"), F.col("deleted_at"))})
 
 
@@ -197,15 +235,14 @@ def purge_empty(notes: DataFrame) -> DataFrame:
 
 
 def set_pinned(notes: DataFrame, pins: DataFrame) -> DataFrame:
-    """M6: (id, is_pinned), deleted notes included; ``updated_at`` stays."""
-    joined = _join_changes(notes, pins.select("id", "is_pinned"))
-    value = F.when(F.col("hit"), F.col("new_is_pinned")).otherwise(F.col("is_pinned"))
-    return _rewrite(joined, notes.columns, {"is_pinned": value})
+    """M6: (id, is_pinned[, seq]), deleted notes included; ``updated_at`` stays."""
+    joined = _join_changes(notes, _ordered(pins, "id", "is_pinned"), ["is_pinned"])
+    return _rewrite(joined, notes.columns, {"is_pinned": _new("is_pinned")})
 
 
 def toggle_pinned(notes: DataFrame, keys: DataFrame) -> DataFrame:
     """M6: flips the pin of active notes."""
-    joined = _join_changes(notes, _keys(keys))
+    joined = _join_changes(notes, _keys(keys), [])
     value = F.when(F.col("hit") & is_active(), ~F.col("is_pinned")).otherwise(F.col("is_pinned"))
     return _rewrite(joined, notes.columns, {"is_pinned": value})
 
@@ -250,12 +287,12 @@ def create_folders(
 
 
 def update_folders(folders: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:
-    """(id, name, color), NULL meaning unchanged; a blank name rejects the row."""
+    """(id, name, color[, seq]), NULL meaning unchanged; a blank name rejects the row."""
     name = py_strip(F.col("name"))
     usable = changes.withColumn("name", name).where(F.coalesce(F.col("name") != "", F.lit(True)))
     usable = usable.where("name is not null or color is not null")
-    joined = _join_changes(folders, usable.select("id", "name", "color"))
-    new = {c: F.coalesce(f"new_{c}", c) for c in ("name", "color")}
+    joined = _join_changes(folders, _ordered(usable, "id", "name", "color"), ["name", "color"])
+    new = {c: _new(c) for c in ("name", "color")}
     new["updated_at"] = F.when(F.col("hit"), stamp(now)).otherwise(F.col("updated_at"))
     return _rewrite(joined, folders.columns, new)
 
@@ -294,14 +331,14 @@ def ensure_library(libraries: DataFrame, now: dt.datetime) -> DataFrame:
 
 
 def update_libraries(libraries: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:
-    """(id, name[, description]); names are trimmed, a blank one rejects the row."""
+    """(id, name[, description][, seq]); names are trimmed, a blank one rejects the row."""
     usable = changes.withColumn("name", py_strip(F.col("name"))).where("name <> ''")
     fields = ["name"]
     if "description" in changes.columns:
         usable = usable.withColumn("description", py_strip(F.coalesce("description", F.lit(""))))
         fields.append("description")
-    joined = _join_changes(libraries, usable.select("id", *fields))
-    new = {c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in fields}
+    joined = _join_changes(libraries, _ordered(usable, "id", *fields), fields)
+    new = {c: _new(c) for c in fields}
     new["updated_at"] = F.when(F.col("hit"), stamp(now)).otherwise(F.col("updated_at"))
     return _rewrite(joined, libraries.columns, new)
 

@@ -79,6 +79,95 @@ def _(d):
     )
 
 
+_STEPS = """changes AS (SELECT 'd' || (event_id // 4) AS id, event_id * 7919 % 10007 AS seq, event_id,
+        CASE WHEN event_id % 4 IN (0, 3) THEN 'title ' || event_type END AS title,
+        CASE WHEN event_id % 4 IN (1, 2) THEN props END AS content,
+        CASE event_id % 4 WHEN 2 THEN '{}' WHEN 1 THEN '' END AS content_json,
+        CASE WHEN event_id % 3 = 0 THEN 'r' || (event_id % 5) END AS folder_id,
+        CASE WHEN event_id % 4 <> 1 THEN ['t' || (event_id % 7), event_type] END AS tags, event_id % 2 = 0 AS is_pinned FROM events)"""
+
+
+def _steps(d):
+    """Four changes for each of many notes, each of some fields, in an order of their own."""
+    event, step = F.col("event_id"), F.col("event_id") % 4
+    return d.table("events").select(
+        F.concat(F.lit("d"), F.floor(event / 4)).alias("id"),
+        (event * 7919 % 10007).alias("seq"),
+        F.when(step.isin(0, 3), F.concat(F.lit("title "), "event_type")).alias("title"),
+        F.when(step.isin(1, 2), F.col("props")).alias("content"),
+        F.when(step == 2, "{}").when(step == 1, "").alias("content_json"),
+        F.when(event % 3 == 0, F.concat(F.lit("r"), event % 5)).alias("folder_id"),
+        F.when(step != 1, F.array(F.concat(F.lit("t"), event % 7), F.col("event_type"))).alias("tags"),
+        (event % 2 == 0).alias("is_pinned"),
+    )
+
+
+def _newest(field: str) -> str:
+    return f"arg_max({field}, seq) FILTER ({field} IS NOT NULL) AS new_{field}"
+
+
+@query(
+    "update_notes_ordered_m2",
+    "notes",
+    f""", {_STEPS}, folded AS (SELECT id, {", ".join(map(_newest, ("title", "content", "content_json", "folder_id", "tags")))} FROM changes GROUP BY id)
+       SELECT n.id, CASE WHEN live THEN coalesce(new_title, title) ELSE title END AS title,
+              CASE WHEN live THEN coalesce(new_content, content) ELSE content END AS content,
+              coalesce(live AND new_content_json = '{{}}', false) AS json,
+              CASE WHEN live THEN coalesce(new_folder_id, folder_id) ELSE folder_id END AS folder_id,
+              array_to_string(CASE WHEN live THEN coalesce(new_tags, tags) ELSE tags END, ',') AS tags,
+              CASE WHEN live THEN {_NOW_TEXT} ELSE {iso_sql("updated_at")} END AS updated
+       FROM (SELECT n.*, f.* EXCLUDE (id), n.deleted_at IS NULL AND f.id IS NOT NULL AS live FROM notes n LEFT JOIN folded f ON f.id = n.id) n""",
+)
+def _(d):
+    """Several partial changes of a note: the newest of each field counts, none is lost."""
+    out = M.update_notes(d.notes(), _steps(d).drop("is_pinned"), NOW)
+    return out.select(
+        "id", "title", "content", F.col("content_json").isNotNull().alias("json"), "folder_id",
+        F.array_join("tags", ",").alias("tags"), iso("updated_at").alias("updated"),
+    )
+
+
+@query(
+    "set_pinned_ordered_m6",
+    "notes",
+    f""", {_STEPS} SELECT n.id, coalesce(f.pin, n.is_pinned) AS is_pinned FROM notes n
+        LEFT JOIN (SELECT id, arg_max(is_pinned, seq) AS pin FROM changes GROUP BY id) f ON f.id = n.id""",
+)
+def _(d):
+    return M.set_pinned(d.notes(), _steps(d).select("id", "is_pinned", "seq")).select("id", "is_pinned")
+
+
+@query(
+    "move_notes_ordered_m7",
+    "notes",
+    f""", {_STEPS} SELECT n.id, CASE WHEN n.deleted_at IS NULL THEN coalesce(f.folder, n.folder_id) ELSE n.folder_id END AS folder_id FROM notes n
+        LEFT JOIN (SELECT id, arg_max(folder_id, seq) FILTER (folder_id IS NOT NULL) AS folder FROM changes GROUP BY id) f ON f.id = n.id""",
+)
+def _(d):
+    return M.move_notes(d.notes(), _steps(d).select("id", "folder_id", "seq"), NOW).select("id", "folder_id")
+
+
+@query(
+    "update_folders_ordered_m10",
+    "folders",
+    """, changes AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey ELSE 'r' || (c_custkey % 5) END AS id, c_custkey * 7919 % 1000003 AS seq,
+            CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 = 1 THEN c_mktsegment END AS color FROM customer),
+        folded AS (SELECT id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(color, seq) FILTER (color IS NOT NULL) AS color
+            FROM changes GROUP BY id)
+        SELECT f.id, coalesce(c.name, f.name) AS name, coalesce(c.color, '#3B82F6') AS color FROM folders f LEFT JOIN folded c ON c.id = f.id""",
+)
+def _(d):
+    """Customers rename and recolour their nation's folder, one after the other."""
+    key = F.col("c_custkey")
+    changes = d.table("customer").select(
+        F.when(key % 2 == 0, F.concat(F.lit("n"), "c_nationkey")).otherwise(F.concat(F.lit("r"), key % 5)).alias("id"),
+        (key * 7919 % 1000003).alias("seq"),
+        F.when(key % 3 == 0, F.col("c_name")).alias("name"),
+        F.when(key % 5 == 1, F.col("c_mktsegment")).alias("color"),
+    )
+    return M.update_folders(d.folders(), changes, NOW).select("id", "name", "color")
+
+
 @query(
     "soft_delete_m3",
     "notes",

@@ -1,5 +1,6 @@
 """Change sets on hand-written rows."""
 
+import pytest
 from helpers import DAY, NOW, folders, images, notes
 from pyspark.sql import Row
 
@@ -29,6 +30,39 @@ def test_update(spark):
     assert got["n2"].updated_at == DAY and len(got) == 3
 
 
+def test_changes_are_folded_in_order(spark):
+    """Field by field, the newest given value; a field can be set to NULL; the order of rows means nothing."""
+    table = notes(spark, [{"title": "t", "content": "c", "content_json": "{}"}, {"title": "u"}])
+    rows = [
+        ("n0", 3, "third", None, None, None), ("n0", 1, "first", "one", "{1}", None), ("n0", 4, None, None, None, ["content_json"]),
+        ("n0", 2, None, "two", "{2}", None), ("n1", 9, None, None, "{}", None), ("n1", 7, "z", None, None, ["content_json"]),
+    ]
+    schema = "id string, seq long, title string, content string, content_json string, cleared array<string>"
+    for some in (rows, rows[::-1]):
+        got = by_id(M.update_notes(table, spark.createDataFrame(some, schema).repartition(3), NOW))
+        assert (got["n0"].title, got["n0"].content, got["n0"].content_json) == ("third", "two", None)
+        assert (got["n1"].title, got["n1"].content_json) == ("z", "{}")
+    pins = spark.createDataFrame([("n0", True, 1), ("n0", False, 2), ("n1", False, 1), ("n1", True, 2)], "id string, is_pinned boolean, seq int")
+    assert {k: r.is_pinned for k, r in by_id(M.set_pinned(table, pins)).items()} == {"n0": False, "n1": True}
+
+
+def test_changes_without_an_order_are_one_per_key(spark):
+    table = notes(spark, [{"title": "t"}])
+    schema = "id string, title string, content string"
+    same = spark.createDataFrame([("n0", "a", None)] * 2, schema)
+    assert by_id(M.update_notes(table, same, NOW))["n0"].title == "a"
+    two = spark.createDataFrame([("n0", "a", None), ("n0", None, "b")], schema)
+    with pytest.raises(Exception, match="need the column seq"):
+        M.update_notes(table, two, NOW).collect()
+
+
+def test_a_hot_key_shrinks_before_the_shuffle(spark):
+    """Changes are aggregated in the tasks that read them: two aggregations, one exchange below the join."""
+    changes = spark.range(1000).selectExpr("'n0' as id", "id as seq", "cast(id as string) as title")
+    plan = M.fold_changes(changes, ["title"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_max" in plan
+
+
 def test_delete_and_restore(spark):
     table = notes(spark, [{}, {"deleted_at": DAY}, {}])
     gone = by_id(M.soft_delete(table, keys(spark, "n0", "n1"), NOW))
