@@ -382,8 +382,8 @@ def test_lcs():
 
     rng = random.Random(8)
     for _ in range(50):
-        a, b = ([bytes([rng.randrange(6)]) for _ in range(rng.randrange(1, 90))] for _ in range(2))
-        assert decontamination.lcs(a, b) == plain(a, b)
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        assert decontamination.Masks(np.array(a)).lcs(b) == plain(a, b)
 
 
 def test_decontamination(spark, docs, empty):
