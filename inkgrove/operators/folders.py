@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.functions.text import UNTITLED_FOLDER, or_else, safe_file_name
 from inkgrove.operators.notes import is_active, notes_in_folders
+from inkgrove.operators.numbering import subtree
 from inkgrove.plans.lineage import cut
 from inkgrove.schemas import SMART_FOLDERS, is_smart
 
@@ -105,7 +106,13 @@ def folder_closure(paths: DataFrame) -> DataFrame:
 
 
 def descendants(paths: DataFrame, folder_id: str, include_self: bool = False) -> DataFrame:
-    """J6 for one folder, without building the whole closure."""
+    """J6 for one folder, without building the whole closure.
+
+    ``paths`` are those of ``folder_paths``, or the numbers of ``number_folders``, in which a
+    subtree is a range.
+    """
+    if "first" in paths.columns:
+        return subtree(paths, folder_id, include_self).select("id", "distance")
     inside = F.array_contains("ids", folder_id)
     if not include_self:
         inside = inside & (F.col("id") != folder_id)
@@ -187,13 +194,20 @@ def folder_tree(
     """Reachable folders with note count, depth and child flag.
 
     ``tree_key`` sorts them in pre-order.  Folders below a collapsed one are
-    hidden; folders whose path does not end at a root never appear.
+    hidden; folders whose path does not end at a root never appear.  ``paths`` may be the
+    numbers of ``number_folders``.
     """
     shown = paths.where(F.col("ending") == "root")
-    if collapsed:
-        above = F.slice("ids", 2, F.size("ids"))
-        shown = shown.where(~F.arrays_overlap(above, F.array(*map(F.lit, collapsed))))
-    places = shown.select(F.col("id").alias("__id"), depth_of_path().alias("depth"), tree_key().alias("tree_key"))
+    if "first" in paths.columns:
+        for closed in paths.where(F.col("id").isin(list(collapsed))).collect():  # as many as are named
+            if closed["first"] is not None:
+                shown = shown.where(~F.col("first").between(closed["first"] + 1, closed["last"]))
+        places = shown.select(F.col("id").alias("__id"), "depth", F.col("first").alias("tree_key"))
+    else:
+        if collapsed:
+            above = F.slice("ids", 2, F.size("ids"))
+            shown = shown.where(~F.arrays_overlap(above, F.array(*map(F.lit, collapsed))))
+        places = shown.select(F.col("id").alias("__id"), depth_of_path().alias("depth"), tree_key().alias("tree_key"))
     facts = with_has_children(with_note_count(folders, notes), folders)
     return facts.join(places, F.col("id") == F.col("__id")).drop("__id")
 

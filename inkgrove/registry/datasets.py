@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkgrove.functions.media import base64_line
 from inkgrove.operators.folders import folder_paths
 from inkgrove.operators.images import embedded_images, tokenize_notes
+from inkgrove.operators.numbering import number_folders
 from inkgrove.plans.lineage import scratch_path
 from inkgrove.schemas import FOLDERS, LIBRARIES, NOTE_IMAGES, conform
 from inkgrove.sources.store import read_notes, write_notes
@@ -127,6 +128,15 @@ class Data:
     def paths(self) -> DataFrame:
         return self.once("paths", lambda: folder_paths(self.folders()))
 
+    def numbers(self) -> DataFrame:
+        """Folder numbers, stored in their order, so that a subtree prunes row groups."""
+        return self.spark.read.parquet(self.once("numbers", self._numbers))
+
+    def _numbers(self) -> str:
+        path = scratch_path(self.spark, "numbers")
+        number_folders(self.folders()).repartitionByRange("first").sortWithinPartitions("first").write.parquet(path)
+        return path
+
     def libraries(self) -> DataFrame:
         langs = self.table("documents").select(F.col("lang").alias("id")).distinct()
         rows = langs.select(

@@ -336,7 +336,7 @@ def _(d):
 )
 def _(d):
     images = d.images()
-    folders, notes, images = M.delete_folder(d.folders(), d.notes(), images, d.paths(), "r0")
+    folders, notes, images = M.delete_folder(d.folders(), d.notes(), images, d.numbers(), "r0")
     return (
         folders.select(F.lit("folder").alias("kind"), F.col("id").alias("key"))
         .union(notes.select(F.lit("note"), "id"))

@@ -38,7 +38,24 @@ def _(d):
     "SELECT id, title FROM active WHERE folder_id IN (SELECT descendant FROM closure WHERE ancestor = 'r2')",
 )
 def _(d):
-    return T.notes_of_subtree(d.notes(), d.paths(), "r2").select("id", "title")
+    return T.notes_of_subtree(d.notes(), d.numbers(), "r2").select("id", "title")
+
+
+@query(
+    "folder_numbers_j6",
+    "fpath closure",
+    """SELECT p.id, row_number() OVER (ORDER BY p.orders) AS first, p.depth,
+              row_number() OVER (ORDER BY p.orders) + (SELECT count(*) FROM closure c WHERE c.ancestor = p.id AND c.distance > 0) AS last
+       FROM fpath p""",
+)
+def _(d):
+    """Every folder's number in pre-order, and the last one below it."""
+    return d.numbers().select("id", "first", "depth", "last")
+
+
+@query("subtree_j6", "closure", "SELECT descendant AS id, distance FROM closure WHERE ancestor = 'r1' AND distance > 0")
+def _(d):
+    return T.descendants(d.numbers(), "r1")
 
 
 @query("folder_closure_j6", "closure", "SELECT ancestor, descendant, distance FROM closure")
@@ -94,7 +111,7 @@ def _placed(tree):
 
 @query("folder_tree_o4", "active fpath", _TREE)
 def _(d):
-    return _placed(T.folder_tree(d.folders(), d.notes(), d.paths()))
+    return _placed(T.folder_tree(d.folders(), d.notes(), d.numbers()))
 
 
 @query(
@@ -105,7 +122,7 @@ def _(d):
                             AND (k.parent_id = c.id OR (SELECT parent_id FROM folders x WHERE x.id = k.parent_id) = c.id))""",
 )
 def _(d):
-    return _placed(T.folder_tree(d.folders(), d.notes(), d.paths(), ["r0", "n5"]))
+    return _placed(T.folder_tree(d.folders(), d.notes(), d.numbers(), ["r0", "n5"]))
 
 
 @query(
