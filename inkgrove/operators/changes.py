@@ -261,18 +261,27 @@ def new_folders(
     sort orders.
 
     With ``paths`` the depth limit applies: a draft below a folder that is too
-    deep is left out.
+    deep is left out.  If folders and drafts have a ``library_id``, each library
+    counts for itself, and the new rows have it too.
     """
     drafts = drafts.withColumn("parent_id", F.nullif(F.col("parent_id"), F.lit("")))
     if paths is not None:
         full = can_have_child(paths).where(~F.col("allowed")).select(F.col("id").alias("parent_id"))
         drafts = drafts.join(full, "parent_id", "left_anti")
-    top = folders.agg(F.coalesce(F.max("sort_order"), F.lit(0))).scalar()
-    ranked = rank_rows(drafts, [], order or [F.col("id").asc()], "nth")
+    order = order or [F.col("id").asc()]
+    if "library_id" in drafts.columns and "library_id" in folders.columns:
+        kept = [*FOLDERS.names, "library_id"]
+        tops = folders.groupBy("library_id").agg(F.max("sort_order").alias("__top"))
+        ranked = rank_rows(drafts, [F.col("library_id")], order, "nth").join(tops, "library_id", "left")
+        top = F.coalesce("__top", F.lit(0))
+    else:
+        kept = FOLDERS.names
+        top = folders.agg(F.coalesce(F.max("sort_order"), F.lit(0))).scalar()
+        ranked = rank_rows(drafts, [], order, "nth")
     rows = ranked.withColumns(
         {"sort_order": (top + F.col("nth")).cast("int"), "created_at": stamp(now), "updated_at": stamp(now)}
-    ).drop("nth")
-    return conform(rows, FOLDERS).select(*FOLDERS.names)
+    )
+    return conform(rows, FOLDERS).select(*kept)
 
 
 def create_folders(
@@ -343,11 +352,27 @@ def update_libraries(libraries: DataFrame, changes: DataFrame, now: dt.datetime)
     return _rewrite(joined, libraries.columns, new)
 
 
-def delete_library(libraries: DataFrame, notes: DataFrame, library_id: str) -> tuple[DataFrame, DataFrame]:
-    """Drops a library and its partition when J11 allows it."""
+def delete_library(
+    libraries: DataFrame,
+    notes: DataFrame,
+    library_id: str,
+    folders: DataFrame | None = None,
+    images: DataFrame | None = None,
+) -> tuple[DataFrame, ...]:
+    """Drops a library with its notes, folders and images when J11 allows it.
+
+    Returns libraries and notes, then folders and images if they are given.  Folders have a
+    ``library_id``; images go with their notes, whether they have one or not.
+    """
     allowed = deletable_libraries(libraries, notes).where("deletable").where(F.col("id") == library_id)
-    gone = allowed.select("id")
-    return (
-        libraries.join(gone, "id", "left_anti").select(*libraries.columns),
-        notes.join(gone.withColumnRenamed("id", "library_id"), "library_id", "left_anti").select(*notes.columns),
-    )
+    gone = allowed.select(F.col("id").alias("library_id"))
+    left = [
+        libraries.join(gone, F.col("id") == gone["library_id"], "left_anti").select(*libraries.columns),
+        notes.join(gone, "library_id", "left_anti").select(*notes.columns),
+    ]
+    if folders is not None:
+        left.append(folders.join(gone, "library_id", "left_anti").select(*folders.columns))
+    if images is not None:
+        lost = notes.join(gone, "library_id", "left_semi").select(F.col("id").alias("note_id"))
+        left.append(images.join(lost, "note_id", "left_anti").select(*images.columns))
+    return tuple(left)

@@ -385,3 +385,57 @@ def _(d):
     return libraries.select(F.lit("library").alias("kind"), F.col("id").alias("key")).union(
         notes.select(F.lit("note"), "id")
     )
+
+
+_BY_KEY = "['de', 'en', 'es', 'fr'][{} % 4 + 1]"
+
+
+def _library(key):
+    return F.get(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (key % 4).cast("int"))
+
+
+def _library_folders(d):
+    """Every folder in the library that its number names."""
+    return d.folders().withColumn("library_id", _library(F.substring("id", 2, 20).cast("bigint")))
+
+
+@query(
+    "delete_library_whole_m12",
+    "notes_img libraries folders",
+    f"""SELECT 'library' AS kind, id AS key FROM libraries WHERE id <> 'es'
+       UNION ALL SELECT 'note', id FROM notes WHERE library_id <> 'es'
+       UNION ALL SELECT 'folder', id FROM folders WHERE {_BY_KEY.format("CAST(substr(id, 2) AS BIGINT)")} <> 'es'
+       UNION ALL SELECT 'image', checksum FROM notes_img WHERE library_id <> 'es'""",
+)
+def _(d):
+    """A library goes with its notes, folders and images."""
+    notes = M.soft_delete(d.notes(), d.notes("es").select("id"), NOW)
+    libraries, notes, folders, images = M.delete_library(d.libraries(), notes, "es", _library_folders(d), d.images())
+    return (
+        libraries.select(F.lit("library").alias("kind"), F.col("id").alias("key"))
+        .union(notes.select(F.lit("note"), "id"))
+        .union(folders.select(F.lit("folder"), "id"))
+        .union(images.select(F.lit("image"), "checksum"))
+    )
+
+
+@query(
+    "create_folders_libraries_m9",
+    "folders",
+    f"""SELECT id, {_BY_KEY.format("CAST(substr(id, 2) AS BIGINT)")} AS library_id, sort_order FROM folders
+       UNION ALL SELECT 'c' || c_custkey, lib, coalesce((SELECT max(sort_order) FROM folders
+                  WHERE {_BY_KEY.format("CAST(substr(id, 2) AS BIGINT)")} = lib), 0) + row_number() OVER (PARTITION BY lib ORDER BY c_name, c_custkey)
+       FROM (SELECT *, {_BY_KEY.format("c_nationkey")} AS lib FROM customer)""",
+)
+def _(d):
+    """New folders of several libraries: each goes on after the last of its own."""
+    drafts = d.table("customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        F.lit("#000000").alias("color"),
+        F.lit("").alias("parent_id"),
+        _library(F.col("c_nationkey")).alias("library_id"),
+        "c_custkey",
+    )
+    out = M.create_folders(_library_folders(d), drafts, NOW, [F.col("name").asc(), F.col("c_custkey").asc()])
+    return out.select("id", "library_id", F.col("sort_order").cast("bigint").alias("sort_order"))
