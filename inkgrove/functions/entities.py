@@ -8,6 +8,7 @@ never the text; rows without such references pass a NULL.
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,12 +34,30 @@ COMMON = [
 RARE_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)(?:#[0-9xX]|[^\t\n\f <&#;])"
 
 
+def _in_common_form(reference: str) -> str:
+    """What a reference stands for, the five mark-up characters as common references."""
+    return html.escape(html.unescape(reference)).replace("&#x27;", "&#39;")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _resolve(references: pd.Series) -> pd.Series:
-    """Resolve references, writing the five mark-up characters in common form."""
-    return references.map(
-        lambda refs: None if refs is None else [html.escape(html.unescape(r)).replace("&#x27;", "&#39;") for r in refs]
-    )
+    return references.map(lambda refs: None if refs is None else [_in_common_form(r) for r in refs])
+
+
+@F.pandas_udf(T.StringType())
+def _resolve_and_simplify(texts: pd.Series) -> pd.Series:
+    rare = re.compile(RARE_ENTITY[: RARE_ENTITY.index("(?:#")] + ENTITY[1:])
+    return texts.map(lambda t: None if t is None else rare.sub(lambda m: _in_common_form(m[0]), html.unescape(t)))
+
+
+def unescape_simplified(text: Column) -> Column:
+    """Resolve every reference once; rare ones that this brings out are simplified.
+
+    So ``unescape_common`` is enough to resolve the result again.  Short texts with rare
+    references, at first or second sight, go to the standard library.
+    """
+    seen = let(text, lambda t: F.when(F.replace(t, F.lit("&amp;"), F.lit("&")).rlike(RARE_ENTITY), t))
+    return F.coalesce(_resolve_and_simplify(seen), unescape_common(text))
 
 
 def simplify_entities(text: Column) -> Column:
