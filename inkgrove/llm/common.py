@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,40 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of a row group while it is written; tasks hold one, beside their Python workers.
+ROW_GROUP = 16 << 20
+
+
+def stored(df: DataFrame, label: str, even: bool = True) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
     Cuts the lineage like a reliable checkpoint, but in columns: later reads are
-    pruned, and a lost executor costs no recomputation.  Files get an even size.
+    pruned, and a lost executor costs no recomputation.  Files get an even size, unless
+    ``even`` is off: then each task writes what it has, without another shuffle.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.hint("rebalance").write.parquet(path)
+    (df.hint("rebalance") if even else df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Kept:
-    """Intermediate tables on the executors' disks, dropped together when done.
-
-    For tables that are read a few times within one operator: a lost executor's share is
-    computed again from the input, so everything kept must follow from it alone.
-    """
-
-    def __init__(self):
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
-        return self.frames[-1]
-
-    def __enter__(self) -> "Kept":
-        return self
-
-    def __exit__(self, *_) -> None:
-        for df in self.frames:
-            df.unpersist()
-
-
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:

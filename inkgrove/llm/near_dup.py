@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm.common import (
     ASCII_LOWER,
-    Kept,
     map_batches,
     mix,
     shingle_hashes,
@@ -59,6 +58,8 @@ MANTISSA_BITS = 10
 ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 512
+# Parts of a star that take its centre's number apart from each other.
+SHARES = 16
 # Python tasks are sized by the number of classes; smaller tasks only start more workers.
 CLASSES_PER_TASK = 4000
 
@@ -201,25 +202,27 @@ def _near(pairs: DataFrame, classes: DataFrame, cut: float, tasks: int) -> DataF
 
 
 def _blocks(members: DataFrame, classes: DataFrame, cut: float, tasks: int) -> DataFrame:
-    """Near pairs (u, v) with a far member, among (key, node, far, size) of whole buckets.
+    """Near pairs (u, v) with a far member, among (key, node, size, fars, far) of whole buckets.
 
-    A bucket is dealt into blocks of about ``BLOCK`` members; each pair of blocks is one
-    bounded group.  A pair leaves the group of the first bucket it shares only.
+    A bucket is dealt into blocks of about ``BLOCK`` members, its far members once more into
+    blocks of guests.  A block meets a block of guests in one bounded group; a bucket with
+    few far members is copied once.  A pair leaves the group of the first bucket it shares.
     """
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    dealt = (
-        members.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        .select("key", "node", "far", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(classes.select("node", "n", "bands"), "node")
+    def place(seed, n):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+
+    blocks, guests = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "fars"))
+    home = members.select("*", F.lit(False).alias("guest"), place(0, blocks).alias("i"), F.explode(F.sequence(F.lit(0), guests - 1)).alias("j"))
+    guest = members.where("far").select(
+        "*", F.lit(True).alias("guest"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), place(1, guests).alias("j")
     )
+    dealt = home.union(guest).select("key", "i", "j", "node", "far", "guest").join(classes.select("node", "n", "bands"), "node")
 
-    def compare(bucket, i, j, nodes, far, blocks, sizes, bands):
+    def compare(bucket, nodes, far, guest, sizes, bands):
         regs, keys = np.ascontiguousarray(bands).view(np.uint16), bucket_keys(bands)
-        for at in np.flatnonzero(far):
-            # Two far members meet once, from the smaller; pairs inside a block belong to (i, i).
-            other = np.flatnonzero((~far | (nodes > nodes[at])) & ((blocks != blocks[at]) | (i == j)))
+        for at in np.flatnonzero(guest):
+            # Two far members meet once: the smaller as guest.
+            other = np.flatnonzero(~guest & (~far | (nodes > nodes[at])))
             if len(other):
                 mine = np.broadcast_to(regs[at], (len(other), REGISTERS))
                 same = estimate(regs[other], mine, sizes[other], np.full(len(other), sizes[at]))
@@ -231,7 +234,7 @@ def _blocks(members: DataFrame, classes: DataFrame, cut: float, tasks: int) -> D
         held = None
         for batch in chain(batches, [None]):
             if batch is not None:
-                rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "far", "own", "n")]
+                rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "far", "guest", "n")]
                 rows.append(batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
                 held = rows if held is None else [np.concatenate(c) for c in zip(held, rows)]
                 if not len(held[0]):
@@ -242,11 +245,7 @@ def _blocks(members: DataFrame, classes: DataFrame, cut: float, tasks: int) -> D
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             ends = np.r_[starts[1:], len(key)]
             whole = len(starts) - (batch is not None)  # the last group may go on in the next batch
-            found = [
-                pair
-                for s, e in zip(starts[:whole], ends[:whole])
-                for pair in compare(key[s], i[s], j[s], *(c[s:e] for c in held[3:]))
-            ]
+            found = [pair for s, e in zip(starts[:whole], ends[:whole]) for pair in compare(key[s], *(c[s:e] for c in held[3:]))]
             held = [c[starts[-1] :] for c in held]
             u, v = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*found) if found else [(), ()]))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -318,7 +317,10 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
     rows = rows.withColumn("b", F.size("diff") - F.col("a")).withColumn("own", own)
     rows = rows.withColumn("base", F.col("n_v") * (under - over))
     loose = rows.where("NOT linked").groupBy("v").agg(F.min(F.col("own") - F.col("base")).alias("excess"))
-    rows = rows.join(loose, "v").withColumn("least", F.ceil((F.col("excess") + F.col("own")) / (over + under)))
+    # A centre's one number goes to all shares of its star.
+    loose = loose.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("u"), F.lit(SHARES)).cast("int")).join(loose, ["v", "share"])
+    rows = rows.withColumn("least", F.ceil((F.col("excess") + F.col("own")) / (over + under)))
 
     single = rows.select("v", "u", "linked", "least", "own", "base", "a", F.posexplode("diff").alias("i", "x"))
     spread = single.groupBy("v", "x").agg(F.count("*").alias("held"))
@@ -332,7 +334,7 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
     listed = listed.where(F.col("sa") + F.col("sb") >= F.col("least"))
     # Elements in one order for the whole star: after a first common one, at most the rest can follow.
     listed = listed.select("*", F.posexplode("xs").alias("i", "e")).where("e.held > 1")
-    listed = listed.withColumn("rest", F.size("xs") - F.col("i"))
+    listed = stored(listed.withColumn("rest", F.size("xs") - F.col("i")).drop("i", "xs"), "listed")
     left = listed.where("NOT linked").select("v", "u", "own", "base", "sa", "sb", "rest", "e")
     rarest = listed.where("rest >= least")
     right = rarest.select("v", "e", *[F.col(c).alias(f"{c}2") for c in ("u", "own", "sa", "sb", "rest")])
@@ -342,39 +344,40 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
     same = (F.col("v") == F.col("v2")) & (F.col("e.x") == F.col("e2.x")) & (F.col("u") != F.col("u2"))
     met = left.join(right, same & enough)
     pairs = met.select("v", F.least("u", "u2").alias("u"), F.greatest("u", "u2").alias("u2")).distinct()
-    sides = rows.select("v", "u", "n_u", "n_v", "a", "diff")
-    other = rows.select("v", *[F.col(c).alias(f"{c}2") for c in ("u", "n_u", "a", "diff")])
-    both = pairs.join(sides, ["v", "u"]).join(other, ["v", "u2"])
+    sides = stars.select("v", "u", "n_u", "n_v", F.col("missing").alias("a"), "diff")
+    other = sides.select("v", *[F.col(c).alias(f"{c}2") for c in ("u", "n_u", "a", "diff")])
+    both = stored(pairs, "met").join(sides, ["v", "u"]).join(other, ["v", "u2"])
     common = F.col("n_v") - F.col("a") - F.col("a2") + F.size(F.array_intersect("diff", "diff2"))
     union = F.col("n_u") + F.col("n_u2") - common
     return both.where(under * common >= over * union).select(F.col("u").alias("a"), F.col("u2").alias("b"))
 
 
-def links(
-    classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str, kept: Kept
-) -> DataFrame:
-    """Linked pairs (a, b) of classes (node, n, hi, bands); a node is the class' smallest id."""
+def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str) -> DataFrame:
+    """Linked pairs (a, b) of classes (node, n, hi, bands); a node is the class' smallest id.
+
+    Tables that several steps read are stored, so that no plan holds the steps before it.
+    """
     tasks = max(16, classes.count() // CLASSES_PER_TASK)
     large = classes.where(F.col("n") >= like.least_size).select("node", "bands").coalesce(tasks)
     members = map_batches(large, _members, "key long, node long")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = kept(members.join(sizes, "key"))
+    members = stored(members.join(sizes, "key"), "members", even=False)
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighted = members.join(weights, "node")
     centres = weighted.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
-    around = members.join(centres, "key").where("node <> v")
+    around = stored(members.join(centres, "key").where("node <> v").drop("size"), "around", even=False)
 
     pairs = around.select(F.col("node").alias("u"), "v").distinct()
     rated = stored(_near(pairs, classes, like.cut, tasks), "rated")
     apart = rated.where("NOT near").select("u", F.col("v").alias("centre"))
     far = around.join(apart, (F.col("node") == F.col("u")) & (F.col("v") == F.col("centre")), "left_semi")
-    far = far.select("key", "node", F.lit(True).alias("far"))
-    mixed = members.join(far.select("key").distinct(), "key", "left_semi")
+    far = stored(far.select("key", "node", F.lit(True).alias("far")), "far")
+    mixed = members.join(far.groupBy("key").agg(F.count("*").alias("fars")), "key")
     mixed = mixed.join(far, ["key", "node"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
-    extra = _blocks(mixed, classes, like.cut, tasks).distinct()
+    extra = stored(_blocks(mixed, classes, like.cut, tasks).distinct(), "extra")
 
     stars = rated.where("near").select("u", "v", F.lit(True).alias("star"))
-    wanted = stored(stars.union(extra.withColumn("star", F.lit(False))), "wanted")
+    wanted = stars.union(extra.withColumn("star", F.lit(False)))
     nodes = wanted.select(F.col("u").alias("node")).union(wanted.select("v")).distinct()
     # Only candidates' texts are moved.
     known = classes.join(nodes, "node", "left_semi").select("node", "hi")
@@ -398,21 +401,20 @@ def near_duplicates(
     Texts are used whole.  An empty table gives an empty result; other columns of
     ``docs`` are ignored.  Ids are integers.
     """
-    with Kept() as kept:
-        found = kept(sketches(docs, like.words, id_column, column).withColumnRenamed(id_column, "id"))
-        rows = found.where("id IS NOT NULL AND n > 0")
-        classes = rows.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
-        classes = kept(classes.select("hi", "lo", F.col("r.id").alias("node"), "r.n", "r.bands"))
-        linked = components(links(classes, docs, like, id_column, column, kept))
-        labels = classes.select("hi", "lo", "node").join(linked, "node", "left")
-        labels = labels.select("hi", "lo", F.coalesce("component", "node").alias("label"))
-        label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
-        out = found.drop("bands").join(labels, ["hi", "lo"], "left")
-        out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), label))
-        out = out.select(
-            F.col("id").alias(id_column),
-            F.col("n").alias("n_shingles"),
-            "component_id",
-            F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
-        return stored(out, "near-duplicates")
+    found = stored(sketches(docs, like.words, id_column, column).withColumnRenamed(id_column, "id"), "sketches", even=False)
+    rows = found.where("id IS NOT NULL AND n > 0")
+    classes = rows.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
+    classes = stored(classes.select("hi", "lo", F.col("r.id").alias("node"), "r.n", "r.bands"), "classes", even=False)
+    linked = components(links(classes, docs, like, id_column, column))
+    labels = classes.select("hi", "lo", "node").join(linked, "node", "left")
+    labels = labels.select("hi", "lo", F.coalesce("component", "node").alias("label"))
+    label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
+    out = found.drop("bands").join(labels, ["hi", "lo"], "left")
+    out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), label))
+    out = out.select(
+        F.col("id").alias(id_column),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
+    return stored(out, "near-duplicates")
