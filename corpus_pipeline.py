@@ -1,8 +1,13 @@
 """From raw documents to packed training sequences.
 
-Each stage takes what the one before kept and returns the columns of ``documents``; the
-last returns the pieces of the packed sequences.  Between stages the table is written as
-Parquet and read again.
+Each stage takes what the one before kept and returns the columns of ``documents``, whatever
+others there are and however they are named; the last returns the pieces of the packed
+sequences.  Between stages the table is written as Parquet and read again.
+
+In every stage null, empty and blank texts are clean and stay (they make no line, group or
+match), very long texts are taken whole, repeated rows are judged alike and stay until
+near-duplicates go, of which rows of one id stay or go together; rows with a null id stay
+through the near-duplicate stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,18 +19,28 @@ from inkgrove.llm import decontamination, line_dedup, near_dup, packing, toxicit
 from inkgrove.llm.common import bound_batches, stored, table
 
 
+def _aside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with columns named like an operator's results renamed, and how to name them back."""
+    taken = {c: f"__own_{c}" for c in docs.columns if c in results}
+    return docs.withColumnsRenamed(taken), [F.col(f"`{taken.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those predicted toxic."""
     bound_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    own, back = _aside(docs, ("score", "predicted", "offending"))
+    return toxicity.score(own, model).where("predicted = 0").select(*back)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten of them share; ``n_chars`` follows the text."""
+    """All documents, without the lines that ten of them share; ``n_chars``, if there, follows the text."""
     bound_batches(spark)
-    kept = line_dedup.line_dedup(docs, min_docs=10)
-    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    own, back = _aside(docs, ("n_lines", "n_dropped"))
+    kept = line_dedup.line_dedup(own, min_docs=10)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast("bigint"))
+    return kept.select(*back)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +71,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores, sketches and tokens have no SQL counterpart; tests hold every stage
-#: against brute force.
+#: Learned scores, sketches and tokens have no SQL counterpart; ``tests/llm/test_pipeline.py``
+#: holds the stages against brute force.
 ORACLE_SQL = None
 
 
