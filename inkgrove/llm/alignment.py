@@ -6,6 +6,10 @@ reaches the running maximum of the ends before it, a group ends: no token of eit
 crosses that place.  Every A token of a group is linked with every B token of it.  How
 often ids are linked is counted in documents, over the whole corpus.
 
+A blank between two other characters is always a place where tokens of both sides end, so
+texts fall into units there.  A worker aligns a unit once and remembers its groups and
+links; a document is put together from its units.
+
 Links are held as distinct id pairs of a document with their number, never one by one.
 Counts of frequent pairs, at most ``FREQUENT``, are broadcast; pairs beyond them are joined.
 """
@@ -15,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +35,18 @@ from inkgrove.llm.token_counts import resolve
 
 #: Pairs whose counts every task holds: two longs and a flag each.
 FREQUENT = 1 << 18
-#: Bytes of text whose tokens are aligned together.
-CHUNK = 1 << 20
+#: Characters of text that are put together at once, of units that are encoded as one text,
+#: and of units that a worker remembers.
+CHUNK, JOINED, REMEMBERED = 1 << 20, 1 << 12, 1 << 22
 #: Links of one group that are listed before equal ids are counted together.
 LISTED = 4096
 #: Longer texts go through the tokenizer library itself: the fast splitter's stack is finite.
 SPLITTER = 100_000
 
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+#: A blank that parts units, and white space beside which a blank doesn't.
+BORDER = re.compile(r"(?<=\S) (?=\S)")
+WIDE = [pair for c in map(chr, range(0x3001)) if c.isspace() for pair in (c + " ", " " + c)]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -98,6 +108,8 @@ class Pieces:
             bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces
         ]
         self.encode = model.encode
+        #: Whether no piece goes on past a blank.
+        self.by_blanks = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
 
 
 _LOADED: dict[str, ByteLevel | Pieces] = {}
@@ -143,27 +155,41 @@ class Aligned:
         return np.flatnonzero(np.diff(self.group, prepend=-1, append=self.group[-1] + 1 if len(self.group) else 0))
 
 
-def align(texts: list[str], first: ByteLevel, second: Pieces) -> Aligned:
-    """Groups of the tokens of all ``texts``; those whose bytes don't come back have none."""
-    sides: list[list[np.ndarray]] = [[], [], [], [], []]
-    base = 0
+def align(texts: list[list[str]], first: ByteLevel, second: Pieces) -> Aligned:
+    """Groups of the tokens of all units; those whose bytes don't come back have none.
+
+    A text is given as its units, which blanks join; ``text`` of the result numbers the
+    units of all texts.
+    """
+    sides: list[list[np.ndarray]] = [[], [], [], []]
+    borders: list[np.ndarray] = []
+    base = number = 0
     size_a, size_b = (np.fromiter(map(len, t.bytes), np.int64) for t in (first, second))
-    for number, text in enumerate(texts):
-        if not text:
-            continue
+    waiting = texts[::-1]
+    while waiting:
+        units = waiting.pop()
+        text = " ".join(units)
         whole = (" " + text).encode()
-        a, b = first.encode(" " + text), second.encode(text)
-        if b"".join(map(first.bytes.__getitem__, a)) != whole or b"".join(map(second.bytes.__getitem__, b)) != whole:
+        a, b = (first.encode(" " + text), second.encode(text)) if text else ([], [])
+        # Tokens of A are the text's bytes cut; pieces may differ from it.
+        good = size_a[a].sum() == len(whole) and b"".join(map(second.bytes.__getitem__, b)) == whole
+        if not good and len(units) > 1:
+            waiting += [[u] for u in reversed(units)]
             continue
-        for side, (ids, size) in enumerate(((a, size_a), (b, size_b))):
-            ids = np.array(ids, np.int64)
-            ends = base + np.cumsum(size[ids])
-            for held, column in zip(sides, (np.full(len(ids), number), np.full(len(ids), side), ids, ends - size[ids], ends)):
-                held.append(column)
-        base += len(whole)
-    number, side, ids, starts, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in sides)
+        lengths = [1 + len(u.encode()) for u in units] if good else [0] * len(units)
+        borders.append(base + np.cumsum([0, *lengths[:-1]]))
+        number += len(units)
+        if good:
+            for side, (ids, size) in enumerate(((a, size_a), (b, size_b))):
+                ids = np.array(ids, np.int64)
+                ends = base + np.cumsum(size[ids])
+                for held, column in zip(sides, (np.full(len(ids), side), ids, ends - size[ids], ends)):
+                    held.append(column)
+            base += len(whole)
+    side, ids, starts, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in sides)
     order, group = coalesce(starts, ends, side)
-    return Aligned(number[order], group, side[order].astype(bool), ids[order], len(texts))
+    unit = np.searchsorted(np.concatenate(borders), starts, side="right") - 1 if borders else ids
+    return Aligned(unit[order], group, side[order].astype(bool), ids[order], number)
 
 
 class Writer:
@@ -222,7 +248,7 @@ def links(aligned: Aligned, size_b: int, span: int) -> tuple[np.ndarray, np.ndar
 
 def merged(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their weights."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     heads = np.flatnonzero(np.diff(keys, prepend=-1))
     return keys[heads], np.add.reduceat(weights[order], heads) if len(heads) else weights[:0]
@@ -245,6 +271,83 @@ def lists(borders: np.ndarray, entries: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(entries, pa.int64()))
 
 
+class Units:
+    """What a worker knows of units: their groups and links, and how to put texts together."""
+
+    def __init__(self, first: ByteLevel, second: Pieces):
+        self.first, self.second = first, second
+        self.size_b = len(second.bytes)
+        self.span = len(first.bytes) * self.size_b
+        self.writer = Writer(len(first.bytes), self.size_b)
+        self.by_blanks = second.by_blanks and first.quick is not None
+        self.forget()
+
+    def forget(self) -> None:
+        #: A unit's number; a new unit gets the next one.
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.size = 0
+        self.written: list[str] = []
+        #: Tokens of A, of B, and groups of each unit; none if its bytes don't come back.
+        self.counts = np.empty((0, 3), np.int64)
+        self.heads, self.pairs, self.times = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def split(self, text: str) -> list[str]:
+        if not self.by_blanks:
+            return [text]
+        if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, WIDE)):
+            return BORDER.split(text)
+        return text.split(" ")
+
+    def learn(self, units: list[str]) -> None:
+        """Align new units, short ones joined; those with white space at an end stand alone."""
+        texts: list[list[str]] = []
+        size = JOINED
+        for unit in units:
+            alone = not self.by_blanks or not unit or unit[0].isspace() or unit[-1].isspace()
+            if alone or size + len(unit) >= JOINED:
+                texts.append([])
+                size = 0
+            texts[-1].append(unit)
+            size = JOINED if alone else size + len(unit) + 1
+        aligned = align(texts, self.first, self.second)
+        n = len(units)
+        n_b = np.bincount(aligned.text[aligned.second], minlength=n)
+        n_a = np.bincount(aligned.text, minlength=n) - n_b
+        groups = np.bincount(aligned.text[aligned.heads[:-1]], minlength=n)
+        owner, pairs, times = links(aligned, self.size_b, self.span)
+        self.counts = np.concatenate([self.counts, np.column_stack([n_a, n_b, groups])])
+        self.heads = np.concatenate([self.heads, self.heads[-1] + np.searchsorted(owner, np.arange(1, n + 1))])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        self.written += self.writer.write(aligned)
+        self.size += sum(map(len, units)) + n
+
+    def put_together(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Counts (tokens of A and B, groups) and groups as text of every text; borders, pairs and times of all."""
+        if self.size > REMEMBERED:
+            self.forget()
+        known = len(self.number)
+        parts = [list(map(self.number.__getitem__, self.split(text))) if text else [] for text in texts]
+        if len(self.number) > known:
+            self.learn(list(islice(self.number, known, None)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        units = np.fromiter(chain.from_iterable(parts), np.int64, sizes.sum())
+        text = np.repeat(np.arange(len(texts)), sizes)
+        # One unit that doesn't come back takes its text with it.
+        own = self.counts[units]
+        bad = np.bincount(text[own[:, 0] == 0], minlength=len(texts)) > 0
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(own, axis=0)])
+        ends = np.cumsum(sizes)
+        counts = np.where(bad[:, None], 0, sums[ends] - sums[ends - sizes])
+        if bad.any():
+            units, text = units[~bad[text]], text[~bad[text]]
+        written = ["" if b else ";".join(map(self.written.__getitem__, part)) for part, b in zip(parts, bad)]
+        many = self.heads[units + 1] - self.heads[units]
+        entry = np.repeat(self.heads[units] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        keys, times = merged(np.repeat(text, many) * self.span + self.pairs[entry], self.times[entry])
+        borders = np.searchsorted(keys, np.arange(len(texts) + 1) * self.span)
+        return counts, written, borders, keys % self.span, times
+
+
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
 
 
@@ -264,23 +367,16 @@ def align_tokens(
     are replaced.
     """
     kept = [c for c in docs.columns if c not in (column, *RESULTS)]
-    writers: list[Writer] = []
+    known: list[Units] = []
 
     def part(texts: list[str]) -> pa.RecordBatch:
-        a, b = load(first), load(second)
-        if not writers:
-            writers.append(Writer(len(a.bytes), len(b.bytes)))
-        aligned = align(texts, a, b)
-        n_b = np.bincount(aligned.text[aligned.second], minlength=len(texts))
-        n_a = np.bincount(aligned.text, minlength=len(texts)) - n_b
-        groups = np.bincount(aligned.text[aligned.heads[:-1]], minlength=len(texts))
-        text, pairs, times = links(aligned, len(b.bytes), len(a.bytes) * len(b.bytes))
-        borders = np.searchsorted(text, np.arange(len(texts) + 1))
+        if not known:
+            known.append(Units(load(first), load(second)))
+        counts, written, borders, pairs, times = known[0].put_together(texts)
         total = np.concatenate([[0], np.cumsum(times)])[borders]
-        written = writers[0].write(aligned)
         if digest:
             written = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
-        arrays = [pa.array(c, pa.int64()) for c in (n_a, n_b, groups, np.diff(total))]
+        arrays = [pa.array(c, pa.int64()) for c in (*counts.T, np.diff(total))]
         arrays += [pa.array(written, pa.string()), lists(borders, pairs), lists(borders, times)]
         return pa.RecordBatch.from_arrays(arrays, RESULTS)
 
@@ -354,7 +450,7 @@ def link_counts(
     kept = [c for c in docs.columns if c not in (column, *RESULTS, "n_best", "count_sum", "__row")]
     shown = [*kept, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), column).withColumn("__row", F.monotonically_increasing_id())
-    aligned = stored(align_tokens(rows, first, second, column, digest=True), "aligned")
+    aligned = stored(align_tokens(rows, first, second, column, digest=True), "aligned", even=False)
     counts = stored(count_pairs(aligned), "pairs")
     # At most one row for each id of A.
     highest = counts.groupBy(F.floor(F.col("pair") / size_b).alias("id")).agg(F.max("docs").alias("highest"))
@@ -385,7 +481,7 @@ def link_counts(
     fields = [aligned.schema[c] for c in found_columns]
     long, many = T.LongType(), T.ArrayType(T.LongType())
     schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in (("n_best", long), ("count_sum", long), ("pairs", many), ("times", many)))])
-    found = stored(map_batches(aligned, look_up, schema), "looked-up")
+    found = stored(map_batches(aligned, look_up, schema), "looked-up", even=False)
     rare = found.where(F.size("pairs") > 0).select("__row", F.explode(F.arrays_zip("pairs", "times")).alias("link"))
     rare = rare.select("__row", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
     rare = rare.join(counts.where(F.col("docs") < level), "pair").groupBy("__row")

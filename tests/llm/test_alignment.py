@@ -94,6 +94,26 @@ def test_frequent_and_rare_pairs(spark, tokenizers, frequent):
     compare(spark, texts + AWKWARD, tokenizers, frequent=frequent)
 
 
+def test_units_are_remembered_and_forgotten(spark, tokenizers, monkeypatch):
+    """Texts are the same whether their words are new, known or forgotten, and wherever they meet."""
+    units = alignment.Units(alignment.load("byte_bpe_50k.json"), alignment.load("piece_bpe_32k.model"))
+    assert units.by_blanks
+    rng = random.Random(2)
+    words = ["the", "It's", "3.5", "x▁y", "a\nb", "naïve", "🙂", "'s", "...", "\u00a0n", "tab\t", "z" * 300, "\x1c", ".", "", "\u2028l"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    want = brute(texts, tokenizers)
+    for remembered, joined in ((1 << 22, 1 << 12), (50, 30), (0, 1)):
+        monkeypatch.setattr(alignment, "REMEMBERED", remembered)
+        monkeypatch.setattr(alignment, "JOINED", joined)
+        units.forget()
+        for at in range(0, len(texts), 40):
+            counts, written, borders, _, times = units.put_together(texts[at : at + 40])
+            total = np.concatenate([[0], np.cumsum(times)])[borders]
+            for k, expected in enumerate(want[at : at + 40]):
+                digest = hashlib.sha256(written[k].encode()).hexdigest() if written[k] else ""
+                assert (*counts[k], total[k + 1] - total[k], digest) == (*expected[:4], expected[6]), texts[at + k]
+
+
 def test_documents_of_the_smallest_tables(spark, tokenizers):
     texts = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").select("text").collect()]
     compare(spark, texts, tokenizers)
