@@ -261,6 +261,28 @@ def _(d):
     return d.notes().select("id", S.decode_text(F.encode("content", "ISO-8859-1")).alias("text"))
 
 
+# The first 25 syllables of the national standard, B0A1 to B0B9, and one that only its extension has, 8141.
+_HANGUL = "가각간갇갈갉갊감갑값갓갔강갖갗같갚갛개객갠갤갬갭갯갂"
+
+
+@query(
+    "decode_korean_s7",
+    "",
+    rf"""SELECT 'd' || doc_id AS id, translate(lower(regexp_replace(text, '[^A-Za-z \n]', '', 'g')),
+                'abcdefghijklmnopqrstuvwxyz', '{_HANGUL}') AS text FROM documents""",
+)
+def _(d):
+    """The letters of every text as two-byte Korean syllables, by the bytes of the old encodings."""
+    letters = F.lower(F.regexp_replace("content", "[^A-Za-z \n]", ""))
+
+    def two_bytes(c):
+        syllable = F.concat(F.lit("B0"), F.hex(F.ascii(c) - ord("a") + 0xA1))
+        return F.when(c == "z", "8141").when(c == " ", "20").when(c == "\n", "0A").when(c != "", syllable).otherwise("")
+
+    raw = F.unhex(F.array_join(F.transform(F.split(letters, ""), two_bytes), ""))
+    return d.notes().select("id", S.decode_text(raw).alias("text"))
+
+
 @query(
     "import_failures_s8",
     "",
