@@ -3,9 +3,9 @@
 1. *Space.* Passages are windows of ``WIDTH`` words that overlap by half.  Their TF-IDF
    vectors are taken over the benchmark's vocabulary; document frequencies are counted over
    all documents, in the tasks that read them.  A randomised SVD gives a latent basis: a
-   random projection of the passages is sharpened by power iterations, whose products are
-   summed in the tasks and then, a block of features at a time, among them.  Passages of the
-   benchmark and of ``SAMPLE_DOCS`` documents enter, chosen among all by a hash.
+   random projection is sharpened by power iterations over the passages of the benchmark and
+   of all documents.  The documents' passages enter by how often two words share one, counted
+   in one pass, so an iteration costs the same whatever their number.
 2. *Candidates.* Every passage of every document is projected onto the basis and compared
    with every benchmark passage by cosine in the latent space, as a product of matrices.
 3. *Runs.* ``RUN`` consecutive words of an item are found in every document by a rolling
@@ -16,13 +16,12 @@
    last sentence unless a column names it, is found there too.
 
 Benchmark items are handled in shards of at most ``RANK`` passages, so that the basis loses
-little of any item.  As many shards as ``GROUP_BYTES`` of loadings allow share two passes over
-the documents, so what is broadcast is bounded whatever the benchmark's size.
+little of any item.  As many shards as ``GROUP_BYTES`` of loadings allow share three passes
+over the documents, so what is broadcast is bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -41,9 +40,8 @@ STEP = WIDTH // 2
 RANK = 384
 OVERSAMPLE = 16
 ITERATIONS = 2
-SAMPLE_DOCS = 1000
-# Share of the energy that the sample of documents has beside the benchmark's passages.
-SAMPLE_ENERGY = 0.05
+# Share of the energy that the documents' passages have beside the benchmark's.
+CORPUS_ENERGY = 0.05
 # Words that more than this share of documents hold carry no weight, if every item has others.
 COMMON = 0.35
 COSINE, PART = 0.4, 0.35
@@ -57,6 +55,8 @@ BASE = 0x9E3779B97F4A7C15
 GROUP_BYTES, FEATURES = 96 << 20, 256
 # Windows compared with all passages at once.
 WINDOWS = 256
+# Pairs of words a task holds before it adds them up or hands them on.
+PAIRS = 1 << 22
 # Marks of (document, word) held at once when documents are counted.
 MARKS = 1 << 24
 
@@ -186,49 +186,141 @@ def tfidf(numbers: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return features, times * idf[features]
 
 
-def randomised_svd(passages: DataFrame, size: int, rank: int) -> np.ndarray:
-    """Orthonormal basis (size x rank) of the leading right singular vectors of the passages.
+def together(docs: DataFrame, words: list[bytes], weighted: list[np.ndarray], column: str) -> DataFrame:
+    """(shard, i, j, n): how often weighted words share a passage, over all passages of all documents.
 
-    ``passages`` has a row per passage: features (array of long) and weights (array of
-    double).  Each iteration multiplies by A^T A: tasks sum their passages' shares and deal
-    them out by blocks of ``FEATURES``, whose sums make one matrix of size x (rank + oversample).
+    ``weighted`` has for each shard the feature number of every word of the group, -1 for
+    words without weight.  ``n`` adds the products of the words' numbers in each passage; a
+    pair is listed once, ``i <= j``.  Tasks add up their own texts; what they hold is bounded.
     """
-    spark = passages.sparkSession
-    columns = min(size, rank + OVERSAMPLE)
-    basis = np.random.default_rng(7).standard_normal((size, columns))
-    fields = ["block", "part"]
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((pa.array(words, pa.binary()).cast(pa.string(), safe=False), weighted))
+    sizes = [int(local.max(initial=-1)) + 1 for local in weighted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weighted = shared.value
+        totals = [Tally() for _ in weighted]
 
-    def blocks(total: np.ndarray, numbers: Iterator[int]) -> pa.RecordBatch:
-        numbers = list(numbers)
-        parts = [total[k * FEATURES : (k + 1) * FEATURES].tobytes() for k in numbers]
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], fields)
+        def listed(shard: int) -> pa.RecordBatch:
+            codes, n = totals[shard].take()
+            columns = [np.full(len(codes), shard), codes // sizes[shard], codes % sizes[shard], n]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "i", "j", "n"])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, part in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[block] = sums.get(block, 0) + np.frombuffer(part)
-        arrays = [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, fields)
+            whole = number_words(batch.column(0), vocabulary)
+            for shard, local in enumerate(weighted):
+                for codes in pairs_of(Numbered(local[whole.numbers], whole.starts), sizes[shard]):
+                    totals[shard].add(codes)
+                if len(totals[shard].codes) > PAIRS:
+                    yield listed(shard)
+        for shard in range(len(weighted)):
+            yield listed(shard)
+
+    rows = docs.select(text_or_empty(column)).mapInArrow(run, "shard long, i long, j long, n long")
+    return stored(rows.groupBy("shard", "i", "j").agg(F.sum("n").alias("n")), "together")
+
+
+class Tally:
+    """Counts of codes, added up whenever ``PAIRS`` are waiting."""
+
+    def __init__(self):
+        self.codes, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.many = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes)
+        self.many += len(codes)
+        if self.many >= PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        codes, n = np.unique(np.concatenate([np.empty(0, np.int64), *self.waiting]), return_counts=True)
+        self.waiting, self.many = [], 0
+        both = np.union1d(self.codes, codes)
+        total = np.zeros(len(both), np.int64)
+        total[np.searchsorted(both, self.codes)] = self.n
+        total[np.searchsorted(both, codes)] += n
+        self.codes, self.n = both, total
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        out = self.codes, self.n
+        self.codes, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        return out
+
+
+def pairs_of(batch: Numbered, size: int) -> Iterator[np.ndarray]:
+    """Codes ``i * size + j`` of the pairs of words (numbers from 0 on) of each passage, i <= j.
+
+    A passage is two blocks of ``STEP`` words: two words of one block meet in the passages of
+    that block, one at either end of a text and two within, words of neighbours in one.  A
+    word meets itself.
+    """
+    blocks = -(-np.diff(batch.starts) // STEP)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    at = np.flatnonzero(batch.numbers >= 0)
+    text = np.searchsorted(batch.starts, at, side="right") - 1
+    own = (at - batch.starts[text]) // STEP
+    inner = (own > 0) & (own < blocks[text] - 1)
+    # Blocks of different texts are never neighbours.
+    block, numbers = first[text] + text + own, batch.numbers[at]
+    yield numbers * (size + 1)
+    yield numbers[inner] * (size + 1)
+    for lag in range(1, WIDTH):
+        apart = block[lag:] - block[:-lag]
+        met = np.flatnonzero(apart <= 1)
+        if not len(met):
+            return
+        a, b = numbers[met], numbers[met + lag]
+        codes = np.minimum(a, b) * size + np.maximum(a, b)
+        # A pair of equal words stands for two products.
+        for codes in (codes, codes[a == b]):
+            yield codes
+        twice = (apart[met] == 0) & inner[met]
+        codes = np.minimum(a, b)[twice] * size + np.maximum(a, b)[twice]
+        for codes in (codes, codes[a[twice] == b[twice]]):
+            yield codes
+
+
+def randomised_svd(own: list[tuple[np.ndarray, np.ndarray]], pairs: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
+    """Orthonormal basis (size x rank) of the leading right singular vectors of the passages.
+
+    ``own`` has features and weights of each passage of the shard; ``pairs`` (i, j, n) the
+    number of times two words share a passage of the documents, all of which get
+    ``CORPUS_ENERGY`` of the shard's energy.  Each iteration multiplies by A^T A, which
+    the pairs hold whole: tasks take ``FEATURES`` of its rows at a time.
+    """
+    spark = pairs.sparkSession
+    size = len(idf)
+    columns = min(size, rank + OVERSAMPLE)
+    basis = np.random.default_rng(7).standard_normal((size, columns))
+    energy = sum(r["n"] * idf[r["i"]] ** 2 for r in pairs.where("i = j").select("i", "n").toLocalIterator())
+    scale = CORPUS_ENERGY * sum(float(w @ w) for _, w in own) / energy if energy else 0.0
+    both = pairs.select("i", "j", "n").union(pairs.where("i < j").select("j", "i", "n"))
+    blocks = both.withColumn("block", F.floor(F.col("i") / FEATURES)).groupBy("block")
 
     for iteration in range(ITERATIONS + 1):
         basis = np.linalg.qr(basis)[0]
-        shared = spark.sparkContext.broadcast(basis)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((size, columns))
-            for batch in batches:
-                features, weights = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns)
-                ends = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
-                for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                    f, w = features[s:e], weights[s:e]
-                    total[f] += np.outer(w, w @ shared.value[f])
-            yield blocks(total, range(-(-size // FEATURES)))
-
-        summed = passages.mapInArrow(run, "block long, part binary").repartition("block").mapInArrow(fold, "block long, part binary")
-        rows = sorted((r["block"], bytes(r["part"])) for r in summed.collect())  # one matrix in all
-        product = np.concatenate([np.frombuffer(part).reshape(-1, columns) for _, part in rows])
-        shared.destroy()
+        product = np.zeros((size, columns))
+        for features, weights in own:
+            product[features] += np.outer(weights, weights @ basis[features])
+        if energy:
+            shared = spark.sparkContext.broadcast((basis, idf))
+
+            def run(rows: pa.Table) -> pa.Table:
+                basis, idf = shared.value
+                i, j, n = (rows.column(c).to_numpy() for c in "ijn")
+                block = int(i[0]) // FEATURES
+                part = np.zeros((min(FEATURES, size - block * FEATURES), size))
+                part[i - block * FEATURES, j] = n * idf[i] * idf[j]
+                return pa.table({"block": pa.array([block]), "part": pa.array([(part @ basis).tobytes()], pa.binary())})
+
+            for row in blocks.applyInArrow(run, "block long, part binary").toLocalIterator():  # one matrix in all
+                start = row["block"] * FEATURES
+                part = np.frombuffer(row["part"]).reshape(-1, columns)
+                product[start : start + len(part)] += scale * part
+            shared.destroy()
         if iteration < ITERATIONS:
             basis = product
     # Rayleigh-Ritz: rotate to the leading directions within the range found.
@@ -460,50 +552,8 @@ class Shard:
             yield *found, "+".join(sorted(by[key]))
 
 
-def sample_of(docs: DataFrame, column: str, size: int = SAMPLE_DOCS) -> DataFrame:
-    """At most ``size`` distinct texts, those with the smallest hashes among all."""
-    texts = docs.select(text_or_empty(column).alias("text")).where("text <> ''").withColumn("hash", F.xxhash64("text"))
-    least = texts.select("hash").distinct().orderBy("hash").limit(size).agg(F.max("hash")).first()[0]
-    chosen = texts.where(F.col("hash") <= F.lit(least)).dropDuplicates(["hash"])
-    return stored(chosen.select("text"), "sample")
-
-
-def _passages(sample: DataFrame, shard: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray) -> DataFrame:
-    """Passages that fit a shard's space: its own, and those of the sample of documents."""
-    spark = sample.sparkSession
-    rows = []
-    for item in shard:
-        numbers = numbers_of(item.words, vocabulary)
-        for start in windows(len(numbers)):
-            features, weights = tfidf(numbers[start : start + WIDTH], idf)
-            rows.append((features.tolist(), weights.tolist()))
-    schema = "features array<long>, weights array<double>"
-    own = spark.createDataFrame(rows, schema)
-    words = pa.array(list(vocabulary), pa.binary()).cast(pa.string(), safe=False)
-
-    def run(batch: pa.RecordBatch):
-        found = []
-        texts = number_words(batch.column(0), words)
-        for row in range(batch.num_rows):
-            numbers = texts.slice(row)
-            for start in windows(len(numbers)):
-                features, weights = tfidf(numbers[start : start + WIDTH], idf)
-                if len(features):
-                    found.append((features, weights))
-        arrays = [pa.array([f[i] for f in found], pa.list_(k)) for i, k in ((0, pa.int64()), (1, pa.float64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["features", "weights"])
-
-    found = stored(map_batches(sample, run, schema), "passages")
-    energy = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w * w)
-    there = found.agg(F.sum(energy)).first()[0]
-    if not there:
-        return own
-    scale = math.sqrt(SAMPLE_ENERGY * sum(w * w for _, weights in rows for w in weights) / there)
-    return own.union(found.withColumn("weights", F.transform("weights", lambda w: w * scale)))
-
-
-def fit_shard(sample: DataFrame, items: list[Item], frequencies: dict[bytes, float], n: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Vocabulary, weights and latent basis of a shard."""
+def weights_of(items: list[Item], frequencies: dict[bytes, float], n: int) -> tuple[list[bytes], np.ndarray]:
+    """Words of a shard, sorted, and the weight of each."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}))}
     frequency = np.array([frequencies[w] for w in vocabulary])
     # A word that only the benchmark has weighs as much as a document's rarest.
@@ -511,8 +561,17 @@ def fit_shard(sample: DataFrame, items: list[Item], frequencies: dict[bytes, flo
     common = frequency > COMMON * n
     if all(np.count_nonzero(~common[[vocabulary[w] for w in item.words]]) >= 4 for item in items):
         idf[common] = 0
-    passages = _passages(sample, items, vocabulary, idf)
-    return vocabulary, idf, randomised_svd(passages, len(vocabulary), min(RANK, len(vocabulary)))
+    return list(vocabulary), idf
+
+
+def fit_shard(items: list[Item], words: list[bytes], idf: np.ndarray, pairs: DataFrame) -> np.ndarray:
+    """Latent basis of a shard, from its own passages and those of all documents."""
+    vocabulary = {w: i for i, w in enumerate(words)}
+    own = []
+    for item in items:
+        numbers = numbers_of(item.words, vocabulary)
+        own += [tfidf(numbers[start : start + WIDTH], idf) for start in windows(len(numbers))]
+    return randomised_svd(own, pairs, idf, min(RANK, len(words)))
 
 
 def matches(
@@ -541,14 +600,21 @@ def matches(
         "answer_share double, start int, kind string, found_by string"
     )
     out = spark.createDataFrame([], schema)
-    sample = None
     for group in groups_of(shards_of(benchmark, item_column, item_text, answer_column)):
         words = sorted({w for shard in group for item in shard for w in item.words})
         n, counted = document_frequencies(docs, words, column)
         frequencies = dict(zip(words, counted.tolist()))
-        sample = sample or sample_of(docs, column)
         vocabulary = {w: i for i, w in enumerate(words)}
-        shards = [Shard(items, vocabulary, *fit_shard(sample, items, frequencies, n)[1:]) for items in group]
+        models = [weights_of(items, frequencies, n) for items in group]
+        weighted = [np.full(len(words) + 1, -1, np.int64) for _ in group]  # the last entry for words of no item
+        for local, (own, idf) in zip(weighted, models):
+            numbers = numbers_of(own, vocabulary)
+            local[numbers[idf > 0]] = np.flatnonzero(idf > 0)
+        pairs = together(docs, words, weighted, column)
+        shards = [
+            Shard(items, vocabulary, idf, fit_shard(items, own, idf, pairs.where(F.col("shard") == k)))
+            for k, (items, (own, idf)) in enumerate(zip(group, models))
+        ]
         out = out.union(_search(docs, words, shards, id_column, column, schema))
     return out
 

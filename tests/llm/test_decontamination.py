@@ -139,3 +139,46 @@ def test_many_shards_share_their_passes(spark, monkeypatch):
         found = D.matches(docs, bench).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
         assert all(r.kind == "copy" and "run" in r.found_by for r in found)
+
+
+def test_basis_counts_the_passages_of_all_documents(spark, monkeypatch):
+    """Pairs of words against every passage of every document, whatever a task holds at once."""
+    rng = random.Random(8)
+    names = [f"w{i:02d}" for i in range(30)]
+    texts = [" ".join(rng.choices([*names, "other"], k=k)) for k in (0, 1, 5, 16, 17, 31, 32, 33, 48, 49, 150)] * 120 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words, weighted = [n.encode() for n in names], [np.arange(31), np.arange(31)]
+    weighted[0][[3, 30]] = weighted[1][[*range(20), 30]] = -1
+    want = {}
+    for text in texts:
+        split = D.words_of((text or "").encode())
+        numbers = np.array([words.index(w) if w in words else -1 for w in split], np.int64)
+        for start in D.windows(len(numbers)) if len(numbers) else []:
+            for shard, local in enumerate(weighted):
+                features, times = D.tfidf(local[numbers[start : start + D.WIDTH]], np.ones(30))
+                for i, a in zip(features.tolist(), times.tolist()):
+                    for j, b in zip(features.tolist(), times.tolist()):
+                        if i <= j:
+                            want[shard, i, j] = want.get((shard, i, j), 0) + a * b
+    for pairs in (1 << 22, 500):
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        found = D.together(docs, words, weighted, "text").collect()
+        assert {(r.shard, r.i, r.j): r.n for r in found} == want and len(found) == len(want)
+
+
+def test_basis_is_that_of_all_passages(spark):
+    """Against the singular vectors of all passages, one by one."""
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(0.5, 2, 40)
+    own = [D.tfidf(rng.integers(0, 40, 20), idf) for _ in range(6)]
+    corpus = [D.tfidf(rng.integers(0, 40, 20), np.ones(40)) for _ in range(50)]
+    total = np.zeros((40, 40))
+    for features, times in corpus:
+        total[np.ix_(features, features)] += np.outer(times, times)
+    pairs = [(i, j, int(total[i, j])) for i in range(40) for j in range(i, 40) if total[i, j]]
+    basis = D.randomised_svd(own, spark.createDataFrame(pairs, "i long, j long, n long"), idf, 40)
+    gram = np.outer(idf, idf) * total
+    whole = sum(np.bincount(f, w, 40)[:, None] * np.bincount(f, w, 40) for f, w in own)
+    whole = whole + gram * (D.CORPUS_ENERGY * np.trace(whole) / np.trace(gram))
+    values, vectors = np.linalg.eigh(whole)
+    assert np.allclose(basis.T @ whole @ basis, np.diag(values[::-1]), atol=1e-6 * values[-1])
