@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,29 +48,6 @@ def stored(df: DataFrame, label: str, even: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Kept:
-    """Intermediate tables on the executors' disks, dropped together when done.
-
-    For wide tables that are read a few times within one operator: writing them as files
-    takes more of an executor's memory.  A lost executor's share is computed again from the
-    input, so everything kept must follow from it alone.
-    """
-
-    def __init__(self):
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
-        return self.frames[-1]
-
-    def __enter__(self) -> "Kept":
-        return self
-
-    def __exit__(self, *_) -> None:
-        for df in self.frames:
-            df.unpersist()
-
-
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:

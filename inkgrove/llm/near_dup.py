@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm.common import (
     ASCII_LOWER,
-    Kept,
     map_batches,
     mix,
     shingle_hashes,
@@ -52,6 +51,7 @@ from inkgrove.llm.common import (
     word_hashes,
 )
 from inkgrove.llm.components import components
+from inkgrove.plans.lineage import cut
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
@@ -354,21 +354,22 @@ def _beside_centre(stars: DataFrame, like: Similarity) -> DataFrame:
 
 
 def links(
-    classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str, kept: Kept
+    classes: DataFrame, docs: DataFrame, like: Similarity, id_column: str, column: str
 ) -> DataFrame:
     """Linked pairs (a, b) of classes (node, n, hi, bands); a node is the class' smallest id.
 
-    Tables that several steps read are kept or stored, so that no plan repeats the steps before it.
+    Tables that several steps read are stored, the wide ones row by row: writing columns takes
+    more of an executor's memory.  So no plan repeats the steps before it.
     """
     tasks = max(16, classes.count() // CLASSES_PER_TASK)
     large = classes.where(F.col("n") >= like.least_size).select("node", "bands").coalesce(tasks)
     members = map_batches(large, _members, "key long, node long")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = kept(members.join(sizes, "key"))
+    members = cut(members.join(sizes, "key"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighted = members.join(weights, "node")
     centres = weighted.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
-    around = kept(members.join(centres, "key").where("node <> v").drop("size"))
+    around = cut(members.join(centres, "key").where("node <> v").drop("size"))
 
     pairs = around.select(F.col("node").alias("u"), "v").distinct()
     rated = stored(_near(pairs, classes, like.cut, tasks), "rated")
@@ -404,21 +405,20 @@ def near_duplicates(
     Texts are used whole.  An empty table gives an empty result; other columns of
     ``docs`` are ignored.  Ids are integers.
     """
-    with Kept() as kept:
-        found = kept(sketches(docs, like.words, id_column, column).withColumnRenamed(id_column, "id"))
-        rows = found.where("id IS NOT NULL AND n > 0")
-        classes = rows.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
-        classes = kept(classes.select("hi", "lo", F.col("r.id").alias("node"), "r.n", "r.bands"))
-        linked = components(links(classes, docs, like, id_column, column, kept))
-        labels = classes.select("hi", "lo", "node").join(linked, "node", "left")
-        labels = labels.select("hi", "lo", F.coalesce("component", "node").alias("label"))
-        label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
-        out = found.drop("bands").join(labels, ["hi", "lo"], "left")
-        out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), label))
-        out = out.select(
-            F.col("id").alias(id_column),
-            F.col("n").alias("n_shingles"),
-            "component_id",
-            F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
-        return stored(out, "near-duplicates")
+    found = cut(sketches(docs, like.words, id_column, column).withColumnRenamed(id_column, "id"))
+    rows = found.where("id IS NOT NULL AND n > 0")
+    classes = rows.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
+    classes = cut(classes.select("hi", "lo", F.col("r.id").alias("node"), "r.n", "r.bands"))
+    linked = components(links(classes, docs, like, id_column, column))
+    labels = classes.select("hi", "lo", "node").join(linked, "node", "left")
+    labels = labels.select("hi", "lo", F.coalesce("component", "node").alias("label"))
+    label = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
+    out = found.drop("bands").join(labels, ["hi", "lo"], "left")
+    out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), label))
+    out = out.select(
+        F.col("id").alias(id_column),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
+    return stored(out, "near-duplicates")
