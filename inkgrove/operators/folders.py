@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from inkgrove.functions.text import UNTITLED_FOLDER, or_else, safe_file_name
 from inkgrove.operators.notes import is_active, notes_in_folders
 from inkgrove.operators.numbering import subtree
-from inkgrove.plans.lineage import cut
+from inkgrove.plans.lineage import round_stored as cut
 from inkgrove.schemas import SMART_FOLDERS, is_smart
 
 # --- fixed values: labels written into results
@@ -58,23 +58,26 @@ def folder_paths(folders: DataFrame) -> DataFrame:
         )
     )
     while not state.where("next is not null").isEmpty():
-        climbing = state.where("next is not null")
         hop = state.select(*[F.col(c).alias(f"hop_{c}") for c in ("id", "ids", "steps", "next", "ending")])
-        joined = climbing.join(hop, F.col("next") == F.col("hop_id"), "left")
+        # Whole paths meet nothing and are dealt by their own id.  A union of both kinds would
+        # double the partitions in every round.
+        climbing = F.col("next").isNotNull()
+        joined = state.join(hop, (F.coalesce("next", "id") == F.col("hop_id")) & climbing, "left")
         found = F.col("hop_id").isNotNull()
         both = F.when(found, F.concat("ids", "hop_ids")).otherwise(F.col("ids"))
         once = F.array_distinct(both)
         looped = F.size(once) < F.size(both)
         steps = F.when(found, F.concat("steps", "hop_steps")).otherwise(F.col("steps"))
+        ending = F.when(~found, "missing").when(looped, "cycle").otherwise(F.col("hop_ending"))
         moved = joined.select(
             "id",
             once.alias("ids"),
             # Past its first repetition a path only repeats itself.
             F.slice(steps, 1, F.size(once)).alias("steps"),
             F.when(found & ~looped, F.col("hop_next")).alias("next"),
-            F.when(~found, "missing").when(looped, "cycle").otherwise(F.col("hop_ending")).alias("ending"),
+            F.when(climbing, ending).otherwise(F.col("ending")).alias("ending"),
         )
-        state = cut(state.where("next is null").unionByName(moved))
+        state = cut(moved)
     return state.drop("next")
 
 

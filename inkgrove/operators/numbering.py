@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.plans.lineage import cut
+from inkgrove.plans.lineage import round_stored as cut
 from inkgrove.plans.ordered import rank_rows
 
 
@@ -36,9 +36,12 @@ def climb(folders: DataFrame) -> DataFrame:
         if far.where("ending is null").isEmpty():
             break
         ahead = far.select(*[F.col(c).alias(f"n_{c}") for c in far.columns])
-        moved = far.where("ending is null").join(ahead, F.col("hop") == F.col("n_id"))
-        moved = moved.select("id", F.col("n_hop").alias("hop"), (F.col("steps") + F.col("n_steps")).alias("steps"), F.col("n_ending").alias("ending"))
-        far = cut(far.where("ending is not null").unionByName(moved))
+        # Rows that have arrived meet nothing and are dealt by their own id.  A union of both
+        # kinds would double the partitions in every round.
+        climbs = F.col("ending").isNull()
+        met = far.join(ahead, (F.when(climbs, F.col("hop")).otherwise(F.col("id")) == F.col("n_id")) & climbs, "left")
+        further = {"hop": F.col("n_hop"), "steps": F.col("steps") + F.col("n_steps"), "ending": F.col("n_ending")}
+        far = cut(met.select("id", *[F.when(climbs, v).otherwise(F.col(c)).alias(c) for c, v in further.items()]))
     places = far.select("id", "steps", F.coalesce("ending", F.lit("cycle")).alias("ending"))
     depth = F.when(F.col("ending") != "cycle", F.col("steps") + F.when(F.col("ending") == "missing", 1).otherwise(0))
     return nodes.drop("ending").join(places, "id").withColumn("depth", depth.cast("bigint")).drop("steps")
@@ -71,9 +74,10 @@ def _rank(arcs: DataFrame) -> DataFrame:
     state = arcs
     for _ in range(arcs.count().bit_length()):  # each round doubles the known part
         ahead = state.select(*[F.col(c).alias(f"n_{c}") for c in state.columns])
-        moved = state.where("next IS NOT NULL").join(ahead, F.col("next") == F.col("n_arc"))
-        moved = moved.select("arc", F.col("n_next").alias("next"), (F.col("downs") + F.col("n_downs")).alias("downs"))
-        state = cut(state.where("next IS NULL").unionByName(moved))
+        # Arcs ranked already meet nothing and are dealt by their own name, as in ``climb``.
+        met = state.join(ahead, (F.coalesce("next", "arc") == F.col("n_arc")) & F.col("next").isNotNull(), "left")
+        downs = F.col("downs") + F.coalesce("n_downs", F.lit(0))
+        state = cut(met.select("arc", F.col("n_next").alias("next"), downs.alias("downs")))
     return state.select("arc", "downs")
 
 

@@ -94,3 +94,28 @@ def test_operators_take_numbers(spark):
         ]
         assert shown[0] == shown[1] and shown[0][0][0] == "e"
     assert T.folder_panel(tree, table, numbers).select(F.col("id")).count() == 7
+
+
+def test_rounds_stay_small(spark, monkeypatch):
+    """Each round is stored in few partitions and hands on no constraints, whatever their number."""
+    from inkgrove.operators import folders as T
+    from inkgrove.operators import numbering as N
+
+    seen = []
+
+    def watched(df, keep=N.cut):
+        out = keep(df)
+        seen.append((out.rdd.getNumPartitions(), out._jdf.queryExecution().optimizedPlan().constraints().size()))
+        return out
+
+    for module in (N, T):
+        monkeypatch.setattr(module, "cut", watched)
+    schema = "id string, name string, parent_id string, sort_order int, created_at timestamp_ntz"
+    for n, fan in ((100, 1), (300, 10)):
+        rows = [(f"f{i}", "x", f"f{(i - 1) // fan}" if i else None, i, None) for i in range(n)]
+        folders = spark.createDataFrame(rows, schema).repartition(2)
+        first = {r.id: (r.first, r.depth) for r in N.number_folders(folders).collect()}
+        depth = {r.id: len(r.ids) - 1 for r in T.folder_paths(folders).collect()}
+        assert {i: d for i, (_, d) in first.items()} == depth
+        assert sorted(f for f, _ in first.values()) == list(range(1, n + 1))
+    assert max(p for p, _ in seen) <= 16 and max(c for _, c in seen) == 0
