@@ -121,3 +121,22 @@ def test_blocks_and_tables(spark):
         (2, 0, ["a", "b", "c"]),
         (2, 1, ["d"]),
     ]
+
+
+def test_images_go_straight_to_their_note(spark):
+    """A payload is dealt out once, by its note, unless a token names another note's image."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = notes(spark, [{"content": "![a](note-image://i0)"}, {"content": "![b](note-image://i1) ![c](note-image://none)"}])
+        rows = images(spark, [("i0", "n0", "image/png", "AAAA"), ("i1", "n1", "image/png", "BBBB"), ("i2", "n1", "image/png", "CCCC")])
+        own = I.hydrate(table.where("id = 'n0'"), rows)
+        text = own._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(image_id" not in text and text.count("Exchange hashpartitioning") == 2
+        assert own.first().content == "![a](data:image/png;base64,AAAA)"
+        shared = table.withColumn("content", F.concat("content", F.lit(" ![d](note-image://i1)")))
+        got = {r.id: r.content for r in I.hydrate(shared, rows).collect()}
+        assert got["n0"] == "![a](data:image/png;base64,AAAA) ![d](data:image/png;base64,BBBB)"
+        assert got["n1"] == "![b](data:image/png;base64,BBBB) ![c]() ![d](data:image/png;base64,BBBB)"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
