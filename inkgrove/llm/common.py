@@ -11,22 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkgrove.plans.batches import bound_batches  # noqa: F401  (for the operators)
 from inkgrove.plans.lineage import scratch_path
 
 #: A-Z to a-z on UTF-8 bytes; no other byte changes.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a batch or two.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Small Arrow batches from here on in this session."""
-    for key, value in BATCH.items():
-        spark.conf.set(key, value)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

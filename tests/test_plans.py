@@ -81,3 +81,22 @@ def test_korean_bytes_are_built_once_and_without_a_function_per_letter(spark):
     assert [None if g is None else bytes(g) for g in got] == want
     text = QUERIES["decode_korean_s7"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in text and text.count("translate(") == 1
+
+
+def test_python_workers_are_handed_small_batches(spark):
+    """What a worker holds does not grow with the rows of its task."""
+    import pyarrow as pa
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for name in names:
+        spark.conf.unset(name)
+    QUERIES["decode_legacy_s7"](spark, SF)
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    short = spark.range(0, 3000, 1, 1).mapInArrow(seen, "rows long, bytes long").agg(F.max("rows")).first()[0]
+    long = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("t"))
+    assert short <= 500
+    assert long.mapInArrow(seen, "rows long, bytes long").agg(F.max("bytes")).first()[0] <= 20 << 20
