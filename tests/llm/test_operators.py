@@ -321,6 +321,22 @@ def test_fingerprints(spark, docs, empty):
     assert merged.first().sketch == whole.first().s
 
 
+def test_token_lengths_found_again_run_no_python():
+    """A pre-token outside the table is an entry from its second time on; memory stays bounded."""
+    tokenizer = token_counts.load(token_counts.resolve("byte_bpe_50k.json"))[0]
+
+    def length(token):
+        return len(tokenizer.encode(token, add_special_tokens=False).ids)
+
+    lengths = token_counts.Lengths({"the": 1}, tokenizer, limit=3)
+    long = "ab" * 200
+    assert (lengths["qzx"], lengths[long], lengths["the"]) == (length("qzx"), length(long), 1)
+    assert dict.get(lengths, "qzx") == length("qzx") and dict.get(lengths, long) is None
+    for i in range(20):
+        assert lengths[f"w{i}"] == length(f"w{i}") and lengths["qzx"] == length("qzx")
+        assert len(lengths) <= 4 and len(lengths.old) <= 4 and dict.get(lengths, "the") == 1
+
+
 def test_token_counts(spark, docs, empty):
     tokenizer = token_counts.load(token_counts.resolve("byte_bpe_50k.json"))[0]
     extra = ["a<|endoftext|>b", "  x   y\n\n\n z ", "été 123 ²½ \U0001f600 don't\x1cx", "\t\t"]
