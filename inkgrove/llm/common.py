@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkgrove.plans.batches import bound_batches  # noqa: F401  (for the operators)
+from inkgrove.plans.batches import bound_batches, give_back  # noqa: F401  (for the operators)
 from inkgrove.plans.lineage import scratch_path
 
 #: A-Z to a-z on UTF-8 bytes; no other byte changes.
@@ -45,9 +45,11 @@ def map_batches(
     """Apply ``function`` to Arrow batches; each may give any number of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

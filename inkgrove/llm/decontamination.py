@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.llm.common import ASCII_LOWER, map_batches, stored, text_bytes, text_or_empty
+from inkgrove.llm.common import ASCII_LOWER, give_back, map_batches, stored, text_bytes, text_or_empty
 
 WIDTH = 32
 STEP = WIDTH // 2
@@ -56,7 +56,7 @@ GROUP_BYTES, FEATURES = 96 << 20, 256
 # Windows compared with all passages at once.
 WINDOWS = 256
 # Pairs of words a task holds before it adds them up or hands them on.
-PAIRS = 1 << 22
+PAIRS = 1 << 20
 # Marks of (document, word) held at once when documents are counted.
 MARKS = 1 << 24
 
@@ -153,6 +153,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes], column: str)
     shared = docs.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.binary()).cast(pa.string(), safe=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         counts, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -198,6 +199,7 @@ def together(docs: DataFrame, words: list[bytes], weighted: list[np.ndarray], co
     sizes = [int(local.max(initial=-1)) + 1 for local in weighted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         vocabulary, weighted = shared.value
         totals = [Tally() for _ in weighted]
 
@@ -215,6 +217,7 @@ def together(docs: DataFrame, words: list[bytes], weighted: list[np.ndarray], co
                     yield listed(shard)
         for shard in range(len(weighted)):
             yield listed(shard)
+        give_back()
 
     rows = docs.select(text_or_empty(column)).mapInArrow(run, "shard long, i long, j long, n long")
     return stored(rows.groupBy("shard", "i", "j").agg(F.sum("n").alias("n")), "together")
@@ -237,11 +240,15 @@ class Tally:
     def settle(self) -> None:
         codes, n = np.unique(np.concatenate([np.empty(0, np.int64), *self.waiting]), return_counts=True)
         self.waiting, self.many = [], 0
-        both = np.union1d(self.codes, codes)
-        total = np.zeros(len(both), np.int64)
-        total[np.searchsorted(both, self.codes)] = self.n
-        total[np.searchsorted(both, codes)] += n
-        self.codes, self.n = both, total
+        if len(self.codes) and len(codes):
+            codes, n = np.concatenate([self.codes, codes]), np.concatenate([self.n, n])
+            order = np.argsort(codes, kind="stable")  # merges the two sorted runs
+            codes, n = codes[order], n[order]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            codes, n = codes[first], np.add.reduceat(n, first)
+        elif len(self.codes):
+            return
+        self.codes, self.n = codes, n
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         self.settle()

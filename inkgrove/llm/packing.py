@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.llm.common import stored, text_or_empty
+from inkgrove.llm.common import give_back, stored, text_or_empty
 from inkgrove.llm.token_counts import resolve
 from inkgrove.plans.ordered import rank_rows
 
@@ -118,6 +118,7 @@ def pieces(
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = encoder(resolve(tokenizer))
         for batch in batches:
             keys, numbers, starts, lengths, sums, bodies = [], [], [], [], [], []

@@ -166,6 +166,25 @@ def test_basis_counts_the_passages_of_all_documents(spark, monkeypatch):
         assert {(r.shard, r.i, r.j): r.n for r in found} == want and len(found) == len(want)
 
 
+def test_tally_holds_little():
+    """Counts are right, and waiting codes take little of an executor that runs several workers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    given = [rng.integers(0, 1000 * k, 1 << 18) for k in range(1, 25)]
+    tally = D.Tally()
+    tracemalloc.start()
+    for codes in given:
+        tally.add(codes.copy())
+    found, n = tally.take()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, times = np.unique(np.concatenate(given), return_counts=True)
+    assert np.array_equal(found, want) and np.array_equal(n, times)
+    assert not len(tally.take()[0])
+    assert peak < 64 << 20
+
+
 def test_basis_is_that_of_all_passages(spark):
     """Against the singular vectors of all passages, one by one."""
     rng = np.random.default_rng(5)
