@@ -47,7 +47,7 @@ class Data:
     # -- the note store ------------------------------------------------------
 
     def raw_notes(self) -> DataFrame:
-        """One note per document, tags as JSON text."""
+        """One note per document, tags as JSON text.  Texts are dealt out once and not sorted."""
         docs, labels = self.table("documents"), self.table("labels")
         events = self.table("events").select(F.col("event_id").alias("doc_id"), "ts")
         suppliers = self.table("supplier").agg(F.count("*")).scalar()
@@ -56,8 +56,8 @@ class Data:
         tag3 = F.concat_ws("/", tag2, (doc % 3).cast("string"))
         updated = F.col("ts") + F.make_dt_interval(secs=F.col("n_chars"))
         return (
-            docs.join(events, "doc_id")
-            .join(labels, "doc_id", "left")
+            docs.join(events.hint("shuffle_hash"), "doc_id")
+            .join(labels.hint("shuffle_hash"), "doc_id", "left")
             .select(
                 F.concat(F.lit("d"), doc).alias("id"),
                 F.concat(F.lit("s"), doc % suppliers).alias("folder_id"),
@@ -74,7 +74,7 @@ class Data:
 
     def _store(self) -> str:
         path = scratch_path(self.spark, "notes")
-        write_notes(self.raw_notes(), path)
+        write_notes(self.raw_notes(), path, deal=False)
         return path
 
     def notes(self, library_id: str | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ class Data:
 
     def _tokenized(self) -> str:
         path = scratch_path(self.spark, "tokenized")
-        write_notes(self.notes(), path, lambda notes: tokenize_notes(self.with_image(notes)))
+        write_notes(self.notes(), path, lambda notes: tokenize_notes(self.with_image(notes)), deal=False)
         return path
 
     def images(self) -> DataFrame:
@@ -94,7 +94,7 @@ class Data:
 
     def _images(self) -> str:
         path = scratch_path(self.spark, "images")
-        embedded_images(self.notes_img(), NOW).write.parquet(path)
+        embedded_images(self.notes_img(), NOW).write.option("compression", "zstd").parquet(path)
         return path
 
     def notes_img(self) -> DataFrame:

@@ -19,17 +19,22 @@ from inkgrove.schemas import FOLDERS, LIBRARIES, NOTE_IMAGES, NOTES, conform
 TABLES = {"notes": NOTES, "folders": FOLDERS, "note_images": NOTE_IMAGES, "libraries": LIBRARIES}
 
 
-def write_notes(notes: DataFrame, path: str, change: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def write_notes(
+    notes: DataFrame, path: str, change: Callable[[DataFrame], DataFrame] | None = None, deal: bool = True
+) -> None:
     """Write a snapshot of ``notes`` (with ``library_id``) to a fresh path.
 
     ``change`` rewrites columns of a row as it is written.  What is computed before rows are
-    dealt out is computed twice, as the bounds of the slices come from a first pass.
+    dealt out is computed twice, as the bounds of the slices come from a first pass.  Without
+    ``deal`` rows are written where they are, in the order of time within each file: texts
+    that were just shuffled, or are clustered already, aren't moved again.
     """
     typed = conform(notes, NOTES)
     # The id splits rows that share a time, such as those of one import.
-    clustered = typed.repartitionByRange("library_id", "updated_at", "id").sortWithinPartitions("library_id", "updated_at")
+    dealt = typed.repartitionByRange("library_id", "updated_at", "id") if deal else typed
+    clustered = dealt.sortWithinPartitions("library_id", "updated_at")
     changed = clustered if change is None else conform(change(clustered), NOTES)
-    changed.write.mode("overwrite").partitionBy("library_id").parquet(path)
+    changed.write.mode("overwrite").option("compression", "zstd").partitionBy("library_id").parquet(path)
 
 
 def read_notes(spark: SparkSession, path: str, library_id: str | None = None) -> DataFrame:

@@ -100,3 +100,28 @@ def test_python_workers_are_handed_small_batches(spark):
     long = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("t"))
     assert short <= 500
     assert long.mapInArrow(seen, "rows long, bytes long").agg(F.max("bytes")).first()[0] <= 20 << 20
+
+
+def test_texts_move_once_into_the_store(spark, monkeypatch):
+    """Joined with the events without a sort, texts are written where they are; the tokenized store moves none."""
+    from inkgrove.registry.datasets import Data
+    from inkgrove.sources.store import read_notes
+
+    dealt = []
+    kind = type(spark.range(1))
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a: dealt.append(self.columns) or deal(self, *a))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = Data(spark, "/root/testdata/sf0.001")
+        assert "SortMergeJoin" not in data.raw_notes()._jdf.queryExecution().executedPlan().toString()
+        assert data.tokenized().count() == data.table("documents").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert not [columns for columns in dealt if "content" in columns]
+    rows = read_notes(spark, data._made["store"]).selectExpr("library_id", "updated_at", "input_file_name() AS file").collect()
+    files = {}
+    for r in rows:
+        files.setdefault((r.file, r.library_id), []).append(r.updated_at)
+    assert all(times == sorted(times) for times in files.values())
