@@ -22,6 +22,7 @@ from inkgrove.operators.folders import can_have_child, descendants
 from inkgrove.operators.images import collect_garbage, embedded_images, rename_tokens, tokenize_notes, upsert_images
 from inkgrove.operators.notes import effectively_empty, is_active
 from inkgrove.operators.stats import deletable_libraries
+from inkgrove.plans.lineage import round_stored
 from inkgrove.plans.ordered import rank_rows
 from inkgrove.schemas import DEFAULT_FOLDER, DEFAULT_LIBRARY, FOLDERS, LIBRARIES, NOTES, conform, is_smart
 
@@ -180,11 +181,11 @@ def merge_saves(
 
     An image that is stored already keeps its id, and the tokens follow.  Images of changes
     to missing or deleted notes are left out; of a saved note, images that it no longer
-    mentions go.
+    mentions go.  The notes are stored, as both results and most callers read them again.
     """
     live = notes.where(is_active()).select("id").join(changes.select("id"), "id", "left_semi")
     fresh = new_images.join(live.withColumnRenamed("id", "note_id"), "note_id", "left_semi")
-    saved = update_notes(notes, rename_tokens(changes, images), now)
+    saved = round_stored(update_notes(notes, rename_tokens(changes, images), now))
     return saved, collect_garbage(upsert_images(images, fresh), saved.join(live, "id", "left_semi"))
 
 
@@ -193,9 +194,10 @@ def save_notes(
 ) -> tuple[DataFrame, DataFrame]:
     """M2 with I1, I4 and M14: notes and images after edits whose texts hold data URLs.
 
-    ``changes`` has id, content, content_json and any other field of ``update_notes``.
+    ``changes`` has id, content, content_json and any other field of ``update_notes``.  They
+    are tokenized once and stored.
     """
-    return merge_saves(notes, images, tokenize_notes(changes), embedded_images(changes, now), now)
+    return merge_saves(notes, images, round_stored(tokenize_notes(changes)), embedded_images(changes, now), now)
 
 
 def move_notes(notes: DataFrame, moves: DataFrame, now: dt.datetime) -> DataFrame:

@@ -125,3 +125,16 @@ def test_texts_move_once_into_the_store(spark, monkeypatch):
     for r in rows:
         files.setdefault((r.file, r.library_id), []).append(r.updated_at)
     assert all(times == sorted(times) for times in files.values())
+
+
+def test_saved_notes_are_computed_once(d):
+    """What is read of saved notes again and again holds no join, and no text is tokenized again for it."""
+    from inkgrove.operators.changes import save_notes
+    from inkgrove.registry.datasets import NOW
+
+    changes = d.notes_img().select("id", "content", "content_json")
+    notes, kept = save_notes(d.notes(), d.images().limit(0), changes, NOW)
+    assert "Join" not in plan(notes) and "sha2" not in plan(notes)
+    live = d.notes().where("deleted_at IS NULL").count()
+    assert notes.count() == d.notes().count() and kept.count() == live
+    assert notes.where("content LIKE '%note-image://%'").count() == live
