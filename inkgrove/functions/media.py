@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgrove.functions.patterns import DATA_URL, IMAGE_TOKEN
-from inkgrove.functions.splice import drop_all, matches
+from inkgrove.functions.splice import drop_all, let, matches
 from inkgrove.functions.text import blank
 
 TOKEN_PREFIX = "note-image://"
@@ -69,3 +69,22 @@ def image_tokens(text: Column) -> Column:
 def base64_line(data: Column) -> Column:
     """Base64 without line breaks, whatever the session setting."""
     return drop_all(F.base64(data), "\r\n")
+
+
+_RAW, _TEXT = b"\x01", b"\x00"
+
+
+def packed(payload: Column) -> Column:
+    """A payload as its bytes, a quarter less to deal out; one that bytes would not give back stays as it is."""
+
+    def pack(raw: Column) -> Column:
+        same = F.coalesce(base64_line(raw) == payload, F.lit(False))
+        return F.when(same, F.concat(F.lit(_RAW), raw)).otherwise(F.concat(F.lit(_TEXT), payload.cast("binary")))
+
+    return let(F.try_to_binary(payload, F.lit("base64")), pack)
+
+
+def unpacked(data: Column) -> Column:
+    """The payload that ``packed`` was given."""
+    rest = F.substring(data, 2, (1 << 31) - 1)
+    return F.when(F.substring(data, 1, 1) == F.lit(_RAW), base64_line(rest)).otherwise(rest.cast("string"))

@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 from inkgrove.functions.tags import clean_tags
 from inkgrove.functions.text import py_strip
 from inkgrove.operators.folders import can_have_child, descendants
-from inkgrove.operators.images import collect_garbage, embedded_images, rename_tokens, tokenize_notes, upsert_images
+from inkgrove.operators.images import (
+    drop_images,
+    embedded_images,
+    fresh_images,
+    referenced_images,
+    rename_tokens,
+    tokenize_notes,
+)
 from inkgrove.operators.notes import effectively_empty, is_active
 from inkgrove.operators.stats import deletable_libraries
 from inkgrove.plans.lineage import round_stored
@@ -182,11 +189,17 @@ def merge_saves(
     An image that is stored already keeps its id, and the tokens follow.  Images of changes
     to missing or deleted notes are left out; of a saved note, images that it no longer
     mentions go.  The notes are stored, as both results and most callers read them again.
+    Which images stay is settled by ids; payloads are dealt out once, by their note.
     """
     live = notes.where(is_active()).select("id").join(changes.select("id"), "id", "left_semi")
-    fresh = new_images.join(live.withColumnRenamed("id", "note_id"), "note_id", "left_semi")
+    live = round_stored(live.select(F.col("id").alias("note_id")).distinct())
     saved = round_stored(update_notes(notes, rename_tokens(changes, images), now))
-    return saved, collect_garbage(upsert_images(images, fresh), saved.join(live, "id", "left_semi"))
+    # The texts are read for what they mention before anything joins, so that none is dealt out for it.
+    mentioned = round_stored(referenced_images(saved).withColumnRenamed("image_id", "id"))
+    judged = images.select("note_id", "id").join(live, "note_id", "left_semi")
+    gone = round_stored(judged.join(mentioned, ["note_id", "id"], "left_anti"))
+    fresh = fresh_images(images, new_images, mentioned.join(live, "note_id", "left_semi")).select(*images.columns)
+    return saved, drop_images(images, gone, deal=True).unionByName(fresh)
 
 
 def save_notes(
@@ -194,10 +207,10 @@ def save_notes(
 ) -> tuple[DataFrame, DataFrame]:
     """M2 with I1, I4 and M14: notes and images after edits whose texts hold data URLs.
 
-    ``changes`` has id, content, content_json and any other field of ``update_notes``.  They
-    are tokenized once and stored.
+    ``changes`` has id, content, content_json and any other field of ``update_notes``.  Their
+    texts are tokenized as they are merged.
     """
-    return merge_saves(notes, images, round_stored(tokenize_notes(changes)), embedded_images(changes, now), now)
+    return merge_saves(notes, images, tokenize_notes(changes), embedded_images(changes, now), now)
 
 
 def move_notes(notes: DataFrame, moves: DataFrame, now: dt.datetime) -> DataFrame:

@@ -19,6 +19,8 @@ from inkgrove.functions.media import (
     extension_of_mime,
     image_id,
     image_tokens,
+    packed,
+    unpacked,
     url_mime,
     url_payload,
 )
@@ -78,36 +80,45 @@ def referenced_images(notes: DataFrame) -> DataFrame:
     return holders.select(F.col("id").alias("note_id"), F.explode(note_tokens()).alias("image_id"))
 
 
-def hydrate(notes: DataFrame, images: DataFrame) -> DataFrame:
+def hydrate(notes: DataFrame, images: DataFrame, beside: DataFrame | None = None) -> DataFrame:
     """Tokens replaced by their data URLs; unknown ids become ''.
 
     Each note asks for each image once.  Notes without tokens skip the joins.  An image goes
     straight to the note it belongs to; only tokens of another note's image, whose ids are
     found and stored first, look for it by its id.
+
+    ``beside`` (id and other columns) joins the notes, and leaves out those it does not have,
+    before the images are in place: what joins after would deal these out once more.
     """
     holds = F.coalesce(
         F.col("content").contains(TOKEN_PREFIX) | blank(F.col("content_json")).contains(TOKEN_PREFIX), F.lit(False)
     )
-    url = F.concat(F.lit("data:"), F.col("mime_type"), F.lit(";base64,"), F.col("data_base64"))
-    own = images.where("id IS NOT NULL AND note_id IS NOT NULL").select(
-        F.col("note_id").alias("__note"), F.col("id").alias("image_id"), url.alias("__url")
-    )
+    image = F.struct(F.col("id").alias("image_id"), "mime_type", packed(F.col("data_base64")).alias("data")).alias("__image")
+    own = images.where("id IS NOT NULL AND note_id IS NOT NULL").select(F.col("note_id").alias("__note"), image)
     keys = images.select("note_id", F.col("id").alias("image_id"))
     foreign = round_stored(referenced_images(notes).join(keys, ["note_id", "image_id"], "left_anti"))
     payloads = own
     if not foreign.isEmpty():
-        found = images.select(F.col("id").alias("image_id"), url.alias("__url"))
-        payloads = own.unionByName(foreign.withColumnRenamed("note_id", "__note").join(found, "image_id"))
+        if beside is not None:
+            foreign = foreign.join(beside.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+        found = images.select(F.col("id").alias("image_id"), image)
+        payloads = own.unionByName(foreign.withColumnRenamed("note_id", "__note").join(found, "image_id").select("__note", "__image"))
+
+    def entry(x: Column) -> Column:
+        return F.struct(x["image_id"], F.concat(F.lit("data:"), x["mime_type"], F.lit(";base64,"), unpacked(x["data"])))
+
     # A map per note is no larger than the note it is written into.
-    urls = payloads.groupBy("__note").agg(F.map_from_entries(F.collect_list(F.struct("image_id", "__url"))).alias("__urls"))
-    joined = notes.where(holds).join(urls, F.col("id") == F.col("__note"), "left")
+    entries = F.transform(F.collect_list("__image"), entry)
+    urls = payloads.groupBy("__note").agg(F.map_from_entries(entries).alias("__urls"))
+    placed = notes if beside is None else notes.join(beside, "id")
+    joined = placed.where(holds).join(urls, F.col("id") == F.col("__note"), "left")
 
     def fill(text: Column) -> Column:
         ids = matches(text, IMAGE_TOKEN, 1)
         return put_back(text, IMAGE_TOKEN, F.transform(ids, lambda i: F.coalesce(F.col("__urls")[i], F.lit(""))))
 
     filled = joined.withColumns({"content": fill(F.col("content")), "content_json": fill(F.col("content_json"))})
-    return notes.where(~holds).unionByName(filled.select(*notes.columns))
+    return placed.where(~holds).unionByName(filled.select(*placed.columns))
 
 
 def unreferenced_images(images: DataFrame, notes: DataFrame) -> DataFrame:
@@ -122,9 +133,29 @@ def unreferenced_images(images: DataFrame, notes: DataFrame) -> DataFrame:
     return judged.join(used, ["note_id", "id"], "left_anti").select("id", "note_id")
 
 
+def _pack(images: DataFrame) -> DataFrame:
+    return images.withColumn("data_base64", packed(F.col("data_base64")))
+
+
+def _unpack(images: DataFrame) -> DataFrame:
+    return images.withColumn("data_base64", unpacked(F.col("data_base64")))
+
+
+def drop_images(images: DataFrame, gone: DataFrame, deal: bool = False) -> DataFrame:
+    """The images without those of ``gone`` (id, note_id), a narrow table.
+
+    They meet by their note alone, as images meet their notes: payloads that are dealt out
+    stay where their note's other rows go.  ``deal`` puts them there in any case.
+    """
+    of_note = gone.groupBy(F.col("note_id").alias("__note")).agg(F.collect_set("id").alias("__gone"))
+    rows = _pack(images).repartition("note_id") if deal else _pack(images)
+    marked = rows.join(of_note, F.col("note_id") == F.col("__note"), "left")
+    return _unpack(marked.where(~F.coalesce(F.array_contains("__gone", F.col("id")), F.lit(False)))).select(*images.columns)
+
+
 def collect_garbage(images: DataFrame, notes: DataFrame) -> DataFrame:
-    """I4: the images that stay."""
-    return images.join(unreferenced_images(images, notes), ["id", "note_id"], "left_anti").select(*images.columns)
+    """I4: the images that stay.  What goes is found and stored first, by ids alone."""
+    return drop_images(images, round_stored(unreferenced_images(images, notes)))
 
 
 def orphan_images(images: DataFrame, notes: DataFrame) -> DataFrame:
@@ -132,11 +163,24 @@ def orphan_images(images: DataFrame, notes: DataFrame) -> DataFrame:
     return images.join(notes.select(F.col("id").alias("note_id")), "note_id", "left_anti").select("id", "note_id")
 
 
+def fresh_images(stored: DataFrame, new: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per (note_id, checksum) of ``new`` that is not stored.
+
+    Payloads are dealt out once, by their note.  With ``wanted`` (id, note_id) only those of it.
+    """
+    dealt = _pack(new).repartition("note_id")
+    if wanted is not None:
+        of_note = wanted.groupBy(F.col("note_id").alias("__of")).agg(F.collect_set("id").alias("__wanted"))
+        dealt = dealt.join(of_note, F.col("note_id") == F.col("__of")).where(F.array_contains("__wanted", F.col("id")))
+    held = stored.groupBy(F.col("note_id").alias("__note")).agg(F.collect_set("checksum").alias("__held"))
+    once = dealt.select(*new.columns).dropDuplicates(["note_id", "checksum"])
+    marked = once.join(held, F.col("note_id") == F.col("__note"), "left")
+    return _unpack(marked.where(~F.coalesce(F.array_contains("__held", F.col("checksum")), F.lit(False)))).select(*new.columns)
+
+
 def upsert_images(stored: DataFrame, new: DataFrame) -> DataFrame:
     """One row per (note_id, checksum); a stored row wins."""
-    key = ["note_id", "checksum"]
-    fresh = new.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
-    return stored.unionByName(fresh.select(*stored.columns))
+    return stored.unionByName(fresh_images(stored, new).select(*stored.columns))
 
 
 def rename_tokens(notes: DataFrame, images: DataFrame) -> DataFrame:
@@ -147,9 +191,9 @@ def rename_tokens(notes: DataFrame, images: DataFrame) -> DataFrame:
     """
     computed = image_id(F.col("note_id"), F.col("checksum"))
     other = images.where(F.col("id") != computed).groupBy("note_id", computed.alias("image_id"))
-    wanted = referenced_images(notes).distinct()
+    # Ids alone: the texts are read once, where they are rewritten.
     names = (
-        wanted.join(other.agg(F.min("id").alias("kept")), ["note_id", "image_id"])
+        other.agg(F.min("id").alias("kept"))
         .groupBy(F.col("note_id").alias("__note"))
         .agg(F.map_from_entries(F.collect_list(F.struct("image_id", "kept"))).alias("__names"))
     )

@@ -89,12 +89,15 @@ class Data:
         write_notes(self.notes(), path, lambda notes: tokenize_notes(self.with_image(notes)), deal=False)
         return path
 
-    def images(self) -> DataFrame:
-        return self.spark.read.schema(NOTE_IMAGES).parquet(self.once("images", self._images))
+    def images(self, library_id: str | None = None) -> DataFrame:
+        """The images of all notes, or of those of one library, stored for themselves."""
+        path = self.once(f"images {library_id or ''}", lambda: self._images(library_id))
+        return self.spark.read.schema(NOTE_IMAGES).parquet(path)
 
-    def _images(self) -> str:
+    def _images(self, library_id: str | None) -> str:
         path = scratch_path(self.spark, "images")
-        embedded_images(self.notes_img(), NOW).write.option("compression", "zstd").parquet(path)
+        rows = embedded_images(self.with_image(self.notes(library_id)), NOW)
+        rows.write.option("compression", "zstd").parquet(path)
         return path
 
     def notes_img(self) -> DataFrame:

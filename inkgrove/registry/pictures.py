@@ -117,13 +117,12 @@ def _(d):
 )
 def _(d):
     """Every note is saved with an image; those of one library are stored already, under other ids."""
-    images = d.images()
-    german = d.notes("de").select(F.col("id").alias("note_id"))
-    stored = images.join(german, "note_id", "left_semi").withColumn("id", F.concat(F.lit("old-"), "note_id"))
+    stored = d.images("de").withColumn("id", F.concat(F.lit("old-"), "note_id"))
     changes = d.notes_img().select("id", "content", "content_json")
-    notes, kept = save_notes(d.notes(), stored.select(*images.columns), changes, NOW)
+    notes, kept = save_notes(d.notes(), stored, changes, NOW)
     held = kept.select(F.col("note_id").alias("id"), F.col("id").alias("image"))
-    shown = I.hydrate(notes, kept).select("id", "content").join(held, "id", "left")
+    beside = notes.select("id").join(held, "id", "left")
+    shown = I.hydrate(notes.select("id", "content", "content_json"), kept, beside)
     return shown.select("id", "content", F.coalesce("image", F.lit("")).alias("image"))
 
 

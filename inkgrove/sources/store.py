@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkgrove.plans.lineage import shuffles_dropped
 from inkgrove.schemas import FOLDERS, LIBRARIES, NOTE_IMAGES, NOTES, conform
 
 TABLES = {"notes": NOTES, "folders": FOLDERS, "note_images": NOTE_IMAGES, "libraries": LIBRARIES}
@@ -34,7 +35,8 @@ def write_notes(
     dealt = typed.repartitionByRange("library_id", "updated_at", "id") if deal else typed
     clustered = dealt.sortWithinPartitions("library_id", "updated_at")
     changed = clustered if change is None else conform(change(clustered), NOTES)
-    changed.write.mode("overwrite").option("compression", "zstd").partitionBy("library_id").parquet(path)
+    with shuffles_dropped(notes.sparkSession):
+        changed.write.mode("overwrite").option("compression", "zstd").partitionBy("library_id").parquet(path)
 
 
 def read_notes(spark: SparkSession, path: str, library_id: str | None = None) -> DataFrame:
