@@ -89,3 +89,54 @@ def test_payloads_come_back_as_they_were(apply):
     texts = ["", "AAAA", "QQ==", "QR==", "QQ", "QQ=", "A", "QQ==QQ==", "AA\r\nAA", "AAAA\n", "+/+/", "é", "\x01", None]
     assert apply(lambda c: unpacked(packed(c)), texts) == texts
     assert apply(lambda c: F.length(packed(c)), ["AAAA", "A" * 400]) == [4, 301]
+
+
+def test_an_import_deals_out_no_image(spark, joins_deal):
+    """Image files are read where their documents are; texts with images in place meet no folders."""
+    moved = dealt(QUERIES["import_tree_s5_j8_j9"](spark, SF))
+    assert not [columns for columns in moved if {"images", "urls", "url", "content"} & columns]
+    assert sum("text" in columns for columns in moved) == 2  # documents with images and those without
+
+
+def test_image_reader(tmp_path, monkeypatch):
+    """Every document gets the files it shows, in batches of bounded size; what can't be read is left out."""
+    import pyarrow as pa
+
+    from inkgrove.sources import files as S
+
+    monkeypatch.setattr(S, "_BATCH_BYTES", 100)
+    monkeypatch.setattr(S, "_RECENT", 2)
+    for name in "abcd":
+        (tmp_path / f"{name}.png").write_bytes(name.encode() * 40)
+    (tmp_path / "dir.png").mkdir()
+    at = {n: f"{tmp_path}/{n}.png" for n in ("a", "b", "c", "d", "dir", "none")}
+    shown = [["a", "b", "a"], None, [], ["dir", "none", None], ["c", "d", "a"], ["a", "b", "c", "d"], ["a"], [None]]
+    targets = [None if names is None else [n and at[n] for n in names] for names in shown]
+    batch = pa.RecordBatch.from_pydict({"path": [f"{i}" for i in range(8)], "text": list("ABCDEFGH"), "targets": targets})
+    parts = list(S._image_reader(str(tmp_path))(iter([batch, batch.slice(6)])))
+    assert [p.num_rows for p in parts] == [5, 1, 2, 2]
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["text"] for r in rows] == list("ABCDEFGHGH")
+    for r in rows:
+        names = dict.fromkeys(n for n in shown["ABCDEFGH".index(r["text"])] or () if n in ("a", "b", "c", "d"))
+        assert [(x["path"], x["data"]) for x in r["images"]] == [(at[n], n.encode() * 40) for n in names]
+
+
+def test_notes_beside_what_joins_them(spark, tmp_path):
+    """An inner join by folder, before images are in place; shown beside the notes as they are."""
+    from inkgrove.schemas import FOLDERS
+    from inkgrove.sources import files as S
+
+    for d in ("x", "y"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "n.md").write_text(f"{d} ![i](../p.png)")
+        (tmp_path / d / "t.txt").write_text(d)
+    (tmp_path / "p.png").write_bytes(b"pix")
+    got = S.import_directory(spark, str(tmp_path), spark.createDataFrame([], FOLDERS), NOW)
+    names = got.folders.where("name <> 'y'").select(F.col("id").alias("folder_id"), F.col("name").alias("folder"))
+    want = got.notes.join(names, "folder_id")
+    both = got.notes_beside(names.union(names.where("folder = 'x'")))
+    assert set(both.columns) == set(want.columns)
+    rows = sorted(tuple(r) for r in want.select("id", "title", "content", "folder").collect())
+    assert [r[1:] for r in sorted(rows, key=lambda r: r[1])] == [("n", "# n\n\nx ![i](data:image/png;base64,cGl4)", "x"), ("t", "# t\n\nx", "x")]
+    assert sorted(tuple(r) for r in both.select("id", "title", "content", "folder").collect()) == sorted(rows * 2)
