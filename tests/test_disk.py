@@ -140,3 +140,39 @@ def test_notes_beside_what_joins_them(spark, tmp_path):
     rows = sorted(tuple(r) for r in want.select("id", "title", "content", "folder").collect())
     assert [r[1:] for r in sorted(rows, key=lambda r: r[1])] == [("n", "# n\n\nx ![i](data:image/png;base64,cGl4)", "x"), ("t", "# t\n\nx", "x")]
     assert sorted(tuple(r) for r in both.select("id", "title", "content", "folder").collect()) == sorted(rows * 2)
+
+
+def test_an_export_deals_out_texts_by_their_note_alone(spark, joins_deal):
+    """Not by their folder; names of all notes and what a token of another note shows are settled by ids."""
+    moved = dealt(QUERIES["export_all_s11_s12"](spark, SF))
+    assert sum("content" in columns for columns in moved) == 2  # notes with tokens and those without
+    assert sum(bool(PAYLOAD & columns) or "buf" in columns and "__note" in columns for columns in moved) == 1
+
+
+def test_an_export_in_rounds_is_the_whole_export(spark, joins_deal, tmp_path, monkeypatch):
+    """Whatever the rounds: the same names, files and report."""
+    from helpers import folders
+
+    from inkgrove.operators.folders import folder_paths
+    from inkgrove.sources import export as E
+
+    tree = folders(spark, [("top", None, 1), ("kid", "top", 2)])
+    rows = [{"folder_id": ("top", "kid", "nowhere")[i % 3], "title": "same", "content": f"{i} ![i](note-image://i{i % 5})"} for i in range(30)]
+    table = notes(spark, [*rows, {"folder_id": "kid", "title": "same", "content": "plain"}])
+    stored = images(spark, [(f"i{i}", f"n{i}", "image/png", "AAAA") for i in range(4)])
+    scope = E.all_scope(table, tree, folder_paths(tree))
+    rounds = []
+    write = E.write_files
+    monkeypatch.setattr(E, "write_files", lambda manifest, out: rounds.append(out) or write(manifest, out))
+    got = {}
+    for size in (1 << 30, 50):
+        out = tmp_path / str(size)
+        report = E.export_files(scope, "md", str(out), stored, round_bytes=size)
+        assert sorted((r.note_id, r.path.removeprefix(f"{out}/"), r.ok) for r in report.collect()) == sorted(
+            (r.note_id, f"{r.directory}/{r.file_name}", True) for r in E.export_manifest(scope, "md", stored).collect()
+        )
+        files = {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file()}
+        got[size] = files
+        assert E.export_summary(report, "x", str(out)).first()["count"] == 21
+    assert got[50] == got[1 << 30] and len(got[50]) == 21 + 16
+    assert rounds.count(str(tmp_path / "50")) > 3 and rounds.count(str(tmp_path / str(1 << 30))) == 1
