@@ -143,8 +143,9 @@ def _(d):
     pictures = d.spark.read.schema(NOTE_IMAGES).parquet(f"{out}/images")
     notes, images = E.apply_log(d.notes(), d.images(), log.parquet(f"{out}/saves"), pictures, NOW)
     held = images.select(F.col("note_id").alias("id"), F.col("checksum").alias("image"))
-    shown = hydrate(notes, images).select("id", "title", "content", iso("updated_at").alias("updated"))
-    return shown.join(held, "id", "left")
+    beside = notes.select("id").join(held, "id", "left")
+    shown = hydrate(notes, images, beside)
+    return shown.select("id", "title", "content", iso("updated_at").alias("updated"), "image")
 
 
 @query(

@@ -296,8 +296,8 @@ def log_saves(saves: DataFrame, path: str, now: dt.datetime) -> DataStreamWriter
         rows = batch.select(F.col("note_id").alias("id"), "version", *FIELDS).persist(StorageLevel.DISK_ONLY)
         try:
             if not rows.isEmpty():
-                embedded_images(rows, now).write.mode("overwrite").parquet(f"{path}/images/batch={batch_id}")
-                tokenize_notes(rows).write.mode("overwrite").parquet(f"{path}/saves/batch={batch_id}")
+                embedded_images(rows, now).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/images/batch={batch_id}")
+                tokenize_notes(rows).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/saves/batch={batch_id}")
         finally:
             rows.unpersist()
 

@@ -176,3 +176,11 @@ def test_an_export_in_rounds_is_the_whole_export(spark, joins_deal, tmp_path, mo
         assert E.export_summary(report, "x", str(out)).first()["count"] == 21
     assert got[50] == got[1 << 30] and len(got[50]) == 21 + 16
     assert rounds.count(str(tmp_path / "50")) > 3 and rounds.count(str(tmp_path / str(1 << 30))) == 1
+
+
+def test_applied_saves_deal_out_texts_and_payloads_once(spark, joins_deal):
+    """Texts with tokens and those without, payloads that were stored and those of the log; never both in one row."""
+    moved = dealt(QUERIES["stream_apply_t6"](spark, SF))
+    assert sum("content" in columns for columns in moved) == 2
+    assert sum(bool(PAYLOAD & columns) for columns in moved) == 2
+    assert not [columns for columns in moved if "content" in columns and PAYLOAD & columns]
